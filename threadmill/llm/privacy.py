@@ -354,7 +354,7 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replace_spans(text: str, spans) -> str:
     """The text with a placeholder for each span; of spans that overlap, the first and longest is replaced."""
     out, at = [], 0
-    for s in sorted(spans or (), key=lambda s: (s["start"], -s["end"])):
+    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
         if s["start"] >= at:
             out += (text[at : s["start"]], f"[{s['pii_type'].upper()}]")
             at = s["end"]
@@ -369,7 +369,7 @@ def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def put(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([replace_spans(t, s if s is not None else ()) for t, s in zip(text, spans, strict=True)])
+        return pd.Series([replace_spans(t, [] if s is None else list(s)) for t, s in zip(text, spans, strict=True)])
 
     both = df.dropDuplicates(["src", "rec_id"]).join(spans, ["src", "rec_id"], "left")
     return both.select("src", "rec_id", put("text", "spans").alias("redacted"))
