@@ -147,12 +147,25 @@ def features(sents: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return sent, key % DIM, total, np.maximum(norm, 1e-9)
 
 
-def dense(sents: list[str]) -> np.ndarray:
-    """Normed features as rows of a matrix."""
-    x = np.zeros((len(sents), DIM), np.float32)
-    s, f, w, n = features(sents)
-    x[s, f] = w / n[s]
-    return x
+class Rows:
+    """Normed features of sentences as sparse rows; products go by slices of the features, so memory stays small."""
+
+    SLICE = 4096
+
+    def __init__(self, sents: list[str]) -> None:
+        self.n = len(sents)
+        parts = [features(sents[at : at + 200]) for at in range(0, self.n, 200)]
+        sent = np.concatenate([p[0] + 200 * i for i, p in enumerate(parts)]) if parts else np.zeros(0, int)
+        feat = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, int)
+        value = np.concatenate([p[2] / p[3][p[0]] for p in parts]) if parts else np.zeros(0)
+        order = np.argsort(feat, kind="stable")
+        self.sent, self.feat, self.value = sent[order], feat[order], value[order].astype(np.float32)
+
+    def slice(self, at: int) -> np.ndarray:
+        i, j = np.searchsorted(self.feat, [at, at + self.SLICE])
+        x = np.zeros((self.n, self.SLICE), np.float32)
+        x[self.sent[i:j], self.feat[i:j] - at] = self.value[i:j]
+        return x
 
 
 def labelled_sentences(each: int = 7) -> tuple[list[str], np.ndarray]:
@@ -189,28 +202,34 @@ def train(ordinary: list[str], landmarks: int = 900) -> np.ndarray:
     """
     sents, y = labelled_sentences()
     ordinary = [s for s in dict.fromkeys(ordinary) if s not in set(sents)]
-    x = dense(sents)
-    common = dense(ordinary)
-    basis = np.vstack([x, common[: max(0, landmarks - len(x))]])
-    values, vectors = np.linalg.eigh((basis @ basis.T).astype(np.float64))
+    rows, n = Rows(sents + ordinary), len(sents)
+    base = np.r_[:n, n : n + max(0, min(landmarks - n, len(ordinary)))]
+    kernel = np.zeros((rows.n, len(base)))
+    for at in range(0, DIM, Rows.SLICE):
+        x = rows.slice(at)
+        kernel += x @ x[base].T
+    values, vectors = np.linalg.eigh(kernel[base])
     keep = values > 1e-4 * values[-1]
     half = vectors[:, keep] / np.sqrt(values[keep])
-    map_x = (x @ basis.T) @ half
-    map_c = (common @ basis.T) @ half
+    mapped = kernel @ half
+    map_x, map_c = mapped[:n], mapped[n:]
     out = np.zeros((DIM + 1, len(KINDS)))
-    use = np.ones(len(common), bool)
+    alpha = np.zeros((len(base), len(KINDS)))
+    use = np.ones(len(map_c), bool)
     for turn in range(2):
-        score = np.zeros((len(common), len(KINDS)))
+        score = np.zeros((len(map_c), len(KINDS)))
         for j in range(len(KINDS)):
             yy = np.concatenate([y[:, j], -np.ones(int(use.sum()))])
             cost = np.where(yy > 0, len(yy) / max(1.0, 0.6 * (yy > 0).sum()), 1.0)
             if not turn:
-                cost[len(x) :] = 0.02  # some of them are abuse that nobody has marked
+                cost[n:] = 0.02  # some of them are abuse that nobody has marked
             w = machine(np.vstack([map_x, map_c[use]]), yy, cost)
-            out[:DIM, j] = basis.T @ (half @ w[:-1])
+            alpha[:, j] = half @ w[:-1]
             out[DIM, j] = w[-1]
             score[:, j] = map_c @ w[:-1] + w[-1]
         use = (score < -0.65).all(axis=1)
+    for at in range(0, DIM, Rows.SLICE):
+        out[at : at + Rows.SLICE] = rows.slice(at)[base].T @ alpha
     return out.astype(np.float32)
 
 
