@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadmill.operators.relational import counts, crosstab, ratio
 
 
+def two_columns(df: DataFrame, a: str, b: str) -> tuple[DataFrame, str, str]:
+    """Only the two columns, by names that clash with nothing, rows with a null left out."""
+    return df.select(F.col(a).alias("__a"), F.col(b).alias("__b")).where("__a is not null and __b is not null"), "__a", "__b"
+
+
 def chi_square(df: DataFrame, row: str, col: str, digits: int = 4) -> DataFrame:
     """(n, chi2, dof, cramers_v) of two columns, rows with a null left out; absent cells count as 0."""
-    n = crosstab(df.where(F.col(row).isNotNull() & F.col(col).isNotNull()), row, col)
+    df, row, col = two_columns(df, row, col)
+    n = crosstab(df, row, col)
     r, c = n.groupBy(row).agg(F.sum("n").alias("r")), n.groupBy(col).agg(F.sum("n").alias("c"))
     total = n.agg(F.sum("n").alias("total"), F.countDistinct(row).alias("rows"), F.countDistinct(col).alias("cols"))
     cells = F.broadcast(r).crossJoin(F.broadcast(c)).crossJoin(F.broadcast(total)).join(n, [row, col], "left")  # the margins only
@@ -64,7 +71,8 @@ def normal_tail(z: Column) -> Column:
 
 def kappa(df: DataFrame, a: str, b: str, digits: int = 6) -> DataFrame:
     """(n, agreement, kappa) of two labels, rows with a null left out."""
-    n = crosstab(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), a, b)
+    df, a, b = two_columns(df, a, b)
+    n = crosstab(df, a, b)
     both = n.select(F.col(a).alias("label"), F.col("n").alias("x"), F.lit(0).alias("y")).unionByName(n.select(F.col(b).alias("label"), F.lit(0).alias("x"), F.col("n").alias("y")))
     chance = both.groupBy("label").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).agg(F.sum(F.col("x").cast("double") * F.col("y")).alias("pe"))
     seen = n.agg(F.sum("n").alias("n"), F.sum(F.when(F.col(a) == F.col(b), F.col("n")).otherwise(0)).alias("same"))
@@ -75,7 +83,8 @@ def kappa(df: DataFrame, a: str, b: str, digits: int = 6) -> DataFrame:
 
 def per_class(df: DataFrame, truth: str, guess: str) -> DataFrame:
     """(label, tp, n_guess, n_truth) for every label of either column."""
-    n = crosstab(df.where(F.col(truth).isNotNull() & F.col(guess).isNotNull()), truth, guess)
+    df, truth, guess = two_columns(df, truth, guess)
+    n = crosstab(df, truth, guess)
     t = n.groupBy(F.col(truth).alias("label")).agg(F.sum("n").alias("n_truth"), F.sum(F.when(F.col(truth) == F.col(guess), F.col("n")).otherwise(0)).alias("tp"))
     g = n.groupBy(F.col(guess).alias("label")).agg(F.sum("n").alias("n_guess"))
     return t.join(g, "label", "full_outer").select("label", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "n_guess", "n_truth")])
@@ -90,7 +99,7 @@ def macro_prf(df: DataFrame, truth: str, guess: str, digits: int = 6) -> DataFra
 
 def adjusted_rand(df: DataFrame, a: str, b: str, noise: int | None = None, least: int = 0, digits: int = 6) -> DataFrame:
     """(n, ari) of two labelings; with ``noise`` rows with that label on either side are left out; 0 below ``least`` rows."""
-    df = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    df, a, b = two_columns(df, a, b)
     if noise is not None:
         df = df.where((F.col(a) != noise) & (F.col(b) != noise))
     pairs = lambda c: F.sum(F.col(c).cast("double") * (F.col(c) - 1) / 2)
@@ -107,7 +116,8 @@ def adjusted_rand(df: DataFrame, a: str, b: str, noise: int | None = None, least
 
 def size_spread(df: DataFrame, by: str, digits: int = 6) -> DataFrame:
     """(k, entropy, entropy_ln, gini, top3_share, cv_pct) of group sizes; top3_share is 1 below three groups."""
-    n = counts(df, by)
+    n = counts(df.select(F.col(by).alias("__a")), "__a")
+    by = "__a"
     w = Window.partitionBy()
     k, total = F.count("*").over(w), F.sum("n").over(w)
     cum = F.sum("n").over(Window.orderBy("n", by).rowsBetween(Window.unboundedPreceding, 0))
@@ -134,11 +144,9 @@ def bootstrap_ci(df: DataFrame, value: str, times: int = 1000, seed: int = 42, d
 
     def run(batches):
         total, weight = np.zeros(times), np.zeros(times)
-        rng = None
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
         for b in batches:
             x = b["v"].to_numpy(float)
-            if rng is None and len(x):
-                rng = np.random.default_rng([seed, len(x), int(abs(x[0]) * 1e6) % 2**31])
             for at in range(0, len(x), 1000):
                 w = rng.poisson(1.0, (len(x[at : at + 1000]), times))
                 total += x[at : at + 1000] @ w
