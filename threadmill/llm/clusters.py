@@ -25,7 +25,7 @@ from threadmill.session import spread, stage, table
 
 DIM = 128
 #: Neighbours of a record.
-K = 10
+K = 6
 #: Records that are joined all against all.
 LEAF = 1_000
 _WORD = re.compile(r"[^\W\d_]{2,}")
@@ -72,7 +72,7 @@ def word_weights(df: DataFrame, rarest: float = 1 / 20_000, commonest: float = 0
 
 
 def vectors(df: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(id, node, vec, key0..): each text as a short vector of bytes, and the hash of its words.
+    """(id, node, vec): each text as a short vector of bytes, and the hash of its words.
 
     Texts without a telling word have no vector.
     """
@@ -90,7 +90,6 @@ def vectors(df: DataFrame, weights: dict[str, float]) -> DataFrame:
             for i, t in zip(b["id"], b["text"], strict=True):
                 n = Counter(w for w in tokens(t, rewrite) if w in weights)
                 if not n:
-                    rows.append((i, None, None))
                     continue
                 v = np.zeros(DIM, np.float32)
                 for w, k in n.items():
@@ -99,9 +98,7 @@ def vectors(df: DataFrame, weights: dict[str, float]) -> DataFrame:
                     v += k * at[w]
                 v = np.clip(np.round(v * (40 / max(1e-9, np.sqrt(v @ v / DIM)))), -127, 127).astype(np.int8)
                 rows.append((i, xxhash.xxh64_intdigest(v.tobytes()) - 2**63, v.tobytes()))
-            out = pd.DataFrame(rows, columns=["id", "node", "vec"])
-            out["node"] = out["node"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["id", "node", "vec"]).astype({"node": "int64"})
 
     return df.mapInPandas(run, "id string, node long, vec binary")
 
@@ -160,7 +157,7 @@ def best_of(edges: DataFrame, k: int = K, floor: float = 0.15) -> DataFrame:
     return distinct.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
 
-def neighbour_graph(nodes: DataFrame, n: int, k: int = K, trees: int = 2, descents: int = 2, seed: int = 3) -> DataFrame:
+def neighbour_graph(nodes: DataFrame, n: int, k: int = K, trees: int = 2, descents: int = 1, seed: int = 3) -> DataFrame:
     """(u, v, s): approximate nearest neighbours of the nodes (node, vec) by cosine, by neighbour descent."""
     levels = max(0, int(np.ceil(np.log2(max(1, n / LEAF)))))
     got = None
@@ -181,7 +178,7 @@ def neighbour_graph(nodes: DataFrame, n: int, k: int = K, trees: int = 2, descen
     return graph
 
 
-def communities(edges: DataFrame, rounds: tuple[int, ...] = (5, 5, 4), gamma: float = 1.0, few: float = 0.01) -> DataFrame:
+def communities(edges: DataFrame, rounds: tuple[int, ...] = (4, 4, 3), gamma: float = 1.0, few: float = 0.01) -> DataFrame:
     """(node, community) of an undirected graph given by (u, v, w) in both directions.
 
     Each level moves nodes to the neighbouring community that raises modularity most, half
@@ -197,7 +194,7 @@ def communities(edges: DataFrame, rounds: tuple[int, ...] = (5, 5, 4), gamma: fl
         moved_before = 1.0
         for t in range(times):
             sums = label.groupBy("c").agg(F.sum("k").alias("sum_k"))
-            near = edges.where("u <> v").join(label.select(F.col("node").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("w"))
+            near = edges.where("u <> v").join(label.select(F.col("node").alias("v"), "c"), "v").select("u", "c", "w")
             near = near.unionByName(label.select(F.col("node").alias("u"), "c", F.lit(0.0).alias("w"))).groupBy("u", "c").agg(F.sum("w").alias("w"))
             near = near.join(sums, "c").join(label.select(F.col("node").alias("u"), "k", F.col("c").alias("own")), "u")
             rest = F.col("sum_k") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
@@ -222,7 +219,7 @@ def communities(edges: DataFrame, rounds: tuple[int, ...] = (5, 5, 4), gamma: fl
 def undirected(graph: DataFrame) -> DataFrame:
     """The graph in both directions, each edge once, weighted by the square of the similarity."""
     both = graph.select("u", "v", "s").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "s"))
-    return both.groupBy("u", "v").agg(F.max("s").alias("s")).select("u", "v", (F.col("s") * F.col("s")).cast("double").alias("w"))
+    return both.groupBy("u", "v").agg(F.max("s").alias("s")).select("u", "v", (F.col("s") * F.col("s")).cast("float").alias("w"))
 
 
 def topic_posts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -232,19 +229,20 @@ def topic_posts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return p, topics
 
 
-def cluster(df: DataFrame, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def cluster(df: DataFrame, weights: dict[str, float], only: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(id, node), (node, community) and the edges (u, v, w) of (id, text).
 
     Null and blank texts and texts without a telling word are in no community; repeated ids and
     copies of a text share a node, so a text copied many times weighs as one. ``only`` has the ids to cluster.
     """
-    df = spread(df)
-    got = vectors(df, word_weights(df)).where("node is not null")
+    got = vectors(spread(df), weights)
     if only is not None:
         got = got.join(only.select("id"), "id", "left_semi")
     got = stage(got, "p1v")
-    member = got.select("id", "node").distinct()
-    nodes = stage(got.select("node", "vec").groupBy("node").agg(F.first("vec").alias("vec")), "p1n")
+    # short numbers for nodes, drawn once as the table is written, take less room in every later shuffle
+    nodes = stage(got.groupBy(F.col("node").alias("hash")).agg(F.first("vec").alias("vec")).withColumn("node", F.monotonically_increasing_id()), "p1n")
+    member = stage(got.select("id", F.col("node").alias("hash")).join(nodes.select("hash", "node"), "hash").select("id", "node").distinct(), "p1i")
+    nodes = nodes.select("node", "vec")
     edges = stage(undirected(neighbour_graph(nodes, nodes.count())), "p1u")
     return member, communities(edges), edges
 
@@ -252,7 +250,7 @@ def cluster(df: DataFrame, only: DataFrame | None = None) -> tuple[DataFrame, Da
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, cluster_id) of every clustered post."""
     posts, topics = topic_posts(spark, sf_dir)
-    member, community, _ = cluster(posts, topics)
+    member, community, _ = cluster(posts, word_weights(spread(posts)), topics)
     return member.join(community, "node", "left").select("id", F.coalesce("community", "node").alias("cluster_id"))
 
 
@@ -271,16 +269,15 @@ def typical(member: DataFrame, community: DataFrame, edges: DataFrame, top: int
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each cluster with its size and its most typical posts."""
     posts, topics = topic_posts(spark, sf_dir)
-    return typical(*cluster(posts, topics))
+    return typical(*cluster(posts, word_weights(spread(posts)), topics))
 
 
-def agree(df: DataFrame, suspects: DataFrame, right: DataFrame, known: DataFrame, smooth: float = 0.2) -> DataFrame:
+def agree(df: DataFrame, weights: dict[str, float], suspects: DataFrame, right: DataFrame, smooth: float = 0.2) -> DataFrame:
     """Suspects (id, topic_id) whose own words speak for ``topic_id`` more than for any other.
 
     ``right`` has (id, topic_id) by community. The table of words by topics is bounded: by word_weights'
     bound on words, and by the topics of a fixed table.
     """
-    weights = word_weights(df)
     w = df.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -327,14 +324,15 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     post in no cluster, have -1. An exact look at the words of the suspects follows.
     """
     posts, topics = topic_posts(spark, sf_dir)
-    member, community, _ = cluster(posts, topics)
+    weights = word_weights(spread(posts))
+    member, community, _ = cluster(posts, weights, topics)
     known = table(spark, sf_dir, "topic_labels").select("topic_id").where("topic_id is not null").distinct()
     rows = topics.join(member, "id").join(community, "node", "left").select("id", F.col("topic_id").alias("recorded"), F.coalesce("community", "node").alias("c"))
     votes = rows.join(F.broadcast(known), rows["recorded"] == known["topic_id"]).groupBy("c", "topic_id").agg(F.count("*").alias("n"))
     right = votes.groupBy("c").agg(F.max(F.struct(F.col("n"), -F.col("topic_id"))).alias("m")).select("c", (-F.col("m.col2")).cast("int").alias("topic_id"))
     rows = stage(rows.join(right, "c", "left").withColumn("topic_id", F.coalesce("topic_id", F.lit(-1))), "p1r")
     suspects = rows.where(~F.col("recorded").eqNullSafe(F.col("topic_id"))).select("id", "topic_id")
-    return agree(posts, suspects, rows.select("id", "topic_id"), known)
+    return agree(posts, weights, suspects, rows.select("id", "topic_id"))
 
 
 QUERIES = {"p1_found": found, "p1_clusters": clusters, "p1_members": members}
