@@ -35,7 +35,7 @@ UNSEEN = "\u00ad\u200b\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u20
 # Joiners; unseen between letters that don't join, but part of emoji and of Indic conjuncts.
 JOINERS = "\u200c\u200d"
 
-_CLUSTER = regex.compile(r"\P{M}\p{M}+")
+_CLUSTER = regex.compile(r"\P{M}\p{M}(?!\p{M})")
 _LOOSE = r"[\p{Latin}\p{Cyrillic}\p{Greek}\d\s\p{P}]"
 _JOINER = regex.compile(rf"(?<={_LOOSE})[\u200c\u200d]+|[\u200c\u200d]+(?={_LOOSE}|$)")
 
@@ -67,12 +67,12 @@ class UnionFind:
 
 
 def text_counts(texts: Iterable[str]) -> Counter:
-    """Occurrences of code points, and of letters with combining marks that have another form."""
+    """Occurrences of code points, and of letters with a combining mark that have a form of one code point; Unicode bounds both."""
     n: Counter = Counter()
     for t in texts:
         n.update(t)
         if not t.isascii() and not unicodedata.is_normalized("NFC", t):
-            n.update(c for c in _CLUSTER.findall(t) if unicodedata.normalize("NFC", c) != c)
+            n.update(c for c in _CLUSTER.findall(t) if len(unicodedata.normalize("NFC", c)) == 1)
     return n
 
 
@@ -159,8 +159,7 @@ def count_symbols(df: DataFrame, text: str = "text") -> DataFrame:
 def learn(df: DataFrame, text: str = "text", floor: int = 1) -> dict[str, str]:
     """Counts the corpus and builds the rewriting table.
 
-    The driver gets one row per symbol that occurs; Unicode bounds the code points, and
-    letters with marks count only where they have another form.
+    The driver gets one row per symbol that occurs, so Unicode bounds it.
     """
     return representatives({r["symbol"]: r["n"] for r in count_symbols(df, text).where(F.col("n") >= floor).collect()})
 

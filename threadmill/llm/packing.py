@@ -176,9 +176,11 @@ def ranges(packed: list[Filling]) -> tuple[dict[int, list[tuple[int, int, int]]]
     return out, container - 1
 
 
-def pieces(sized: DataFrame, specs: DataFrame, key: str) -> DataFrame:
+def pieces(sized: DataFrame, specs: list, key: str) -> DataFrame:
     """(spec_id, key, piece_no, n_tokens): a document is one piece, or full pieces and a rest if it exceeds the capacity."""
-    df = sized.join(F.broadcast(specs), "tokenizer")  # a fixed table of a few rows
+    each = F.array(*[F.struct(F.lit(r["spec_id"]).alias("spec_id"), F.lit(r["tokenizer"]).alias("t"), F.lit(r["capacity_tokens"]).alias("capacity_tokens")) for r in specs])
+    own = F.filter(each, lambda x: x["t"] == F.col("tokenizer"))
+    df = sized.select("*", F.inline(own))
     n, c = F.col("n"), F.col("capacity_tokens")
     last = F.greatest(F.ceil(n / c).cast("int") - 1, F.lit(0))
     df = df.select("spec_id", F.col(key), n.alias("n"), c.alias("c"), F.explode(F.sequence(F.lit(0), last)).alias("piece_no"))
@@ -210,11 +212,14 @@ def pack(sized: DataFrame, specs: DataFrame, key: str = "doc_id") -> DataFrame:
     An empty table gives no rows; capacities must be positive.
     """
     sized = sized.select(key, "tokenizer", F.coalesce("n", F.lit(0)).alias("n"))
-    items = stage(pieces(sized, specs.select("spec_id", "tokenizer", "capacity_tokens").where("capacity_tokens > 0"), key), "p8")
+    rows = specs.select("spec_id", "tokenizer", "capacity_tokens").where("spec_id is not null and tokenizer is not null and capacity_tokens > 0").collect()  # a fixed table of a few rows
+    if not rows:
+        raise ValueError("no container has a capacity")
+    items = stage(pieces(sized, rows, key), "p8")
     histogram: dict[int, dict[int, int]] = {}
     for r in items.groupBy("spec_id", "n_tokens").count().collect():  # as many rows as the capacities have tokens, at most
         histogram.setdefault(r["spec_id"], {})[r["n_tokens"]] = r["count"]
-    capacity = {r["spec_id"]: r["capacity_tokens"] for r in specs.collect()}
+    capacity = {r["spec_id"]: r["capacity_tokens"] for r in rows}
     where: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     for spec, counts in histogram.items():
         got, _ = ranges(fillings({s: k for s, k in counts.items() if s > 0}, capacity[spec]))
