@@ -137,3 +137,13 @@ def test_empty_tables(spark, rows):
     S.chi_square(df, "r", "c").collect()
     S.kappa(df, "r", "c").collect()
     S.macro_prf(df, "r", "c").collect()
+
+
+def test_ranks_of_a_hot_group(spark):
+    rows = [(1 if i % 3 else None, i * 7 % 50, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, v int, k int")
+    got = {r["k"]: (r["i"], r["i_of"]) for r in R.rank_in_groups(df, ["g"], [("v", True), ("k", False)], "i", 13).collect()}
+    for g in (1, None):
+        own = sorted((x for x in rows if x[0] == g), key=lambda x: (-x[1], x[2]))
+        assert [got[k] for _, _, k in own] == [(i, len(own)) for i in range(len(own))]
+    assert R.rank_in_groups(df.limit(0), ["g"], [("v", True)], "i").count() == 0

@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadmill.session import stage
+
 
 def ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0))
@@ -93,6 +95,27 @@ def ranked(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), nam
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
+def rank_in_groups(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], name: str = "rank", parts: int | None = None) -> DataFrame:
+    """``df`` with each row's place in its group, from 0, in a total order of (column, descending).
+
+    Rows are cut by ranges of keys and order, so a group that holds a third of all rows lies in many
+    tasks; counts of the cuts before give each cut its first place. For the first few rows of a group
+    ``first_by`` does, as it limits groups before the shuffle.
+    """
+    by = [F.desc(c) if down else F.asc(c) for c, down in order]
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = stage(df.repartitionByRange(parts, *[F.asc(k) for k in keys], *by).withColumn("__cut", F.spark_partition_id()), "rank")
+    n = cut.groupBy(*keys, "__cut").agg(F.count("*").alias("__n"))  # a few rows for each group
+    before = Window.partitionBy(*keys).orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)
+    n = n.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__cut").alias("__c"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"), F.sum("__n").over(Window.partitionBy(*keys)).alias("__size"))
+    same = F.col("__cut") == F.col("__c")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "__cut").orderBy(*by)) - 1
+    got = cut.withColumn("__i", inside).join(n, same)
+    return got.withColumn(name, F.col("__first") + F.col("__i")).withColumn(f"{name}_of", F.col("__size")).drop("__cut", "__c", "__first", "__i", "__size", *[f"__k{i}" for i in range(len(keys))])
+
+
 def cumulative_share(df: DataFrame, n: str, key: str, digits: int = 6) -> DataFrame:
     """(key, n, rank, share): running share of the groups from the largest on; meant for aggregated rows."""
     w = Window.orderBy(F.desc(n), key)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadmill.functions.text import word_tokens
-from threadmill.operators.relational import first_by, ratio
+from threadmill.operators.relational import first_by, rank_in_groups, ratio
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -125,10 +125,9 @@ def representative(df: DataFrame, topic: str, key: str, conf: str, content: Colu
     The pool is what bears content, or everything where fewer than ``least`` do. Repeated picks count once.
     """
     flagged = df.withColumn("__c", content.cast("int"))
-    enough = F.sum("__c").over(Window.partitionBy(topic)) >= least
-    pool = flagged.withColumn("__e", enough).where((~F.col("__e")) | (F.col("__c") == 1))
-    w = Window.partitionBy(topic)
-    pool = pool.withColumn("i", F.row_number().over(w.orderBy(F.desc(conf), key)) - 1).withColumn("n", F.count("*").over(w))
-    at = lambda pct: F.floor(F.lit(pct) * (F.col("n") - 1) / 100)
+    n = flagged.groupBy(topic).agg((F.sum("__c") >= least).alias("__e"))
+    pool = flagged.join(F.broadcast(n), topic).where((~F.col("__e")) | (F.col("__c") == 1))  # topics are few
+    pool = rank_in_groups(pool.select(topic, key, conf), [topic], [(conf, True), (key, False)], "i")
+    at = lambda pct: F.floor(F.lit(pct) * (F.col("i_of") - 1) / 100)
     got = pool.where((F.col("i") < 3) | (F.col("i") == at(45)) | (F.col("i") == at(65)))
     return got.select(topic, F.row_number().over(Window.partitionBy(topic).orderBy("i")).cast("int").alias("pick"), key)

@@ -541,10 +541,10 @@ def _(spark, d):
 WITH x AS (SELECT category, comment_id, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY category) AS n FROM (SELECT DISTINCT category, comment_id, score FROM {REPLIES} WHERE score IS NOT NULL AND category IS NOT NULL) WINDOW w AS (PARTITION BY category ORDER BY score DESC, comment_id))
 SELECT category, comment_id, CAST(i AS INTEGER) AS i FROM x WHERE i = 45 * (n - 1) // 100 OR i = 65 * (n - 1) // 100""")
 def _(spark, d):
-    w = Window.partitionBy("category")
     x = replies(spark, d).where(F.col("score").isNotNull() & F.col("category").isNotNull()).select("category", "comment_id", "score").distinct()
-    x = x.withColumn("i", F.row_number().over(w.orderBy(F.desc("score"), "comment_id")) - 1).withColumn("n", F.count("*").over(w))
-    return x.where((F.col("i") == F.floor(45 * (F.col("n") - 1) / 100)) | (F.col("i") == F.floor(65 * (F.col("n") - 1) / 100))).select("category", "comment_id", "i")
+    x = R.rank_in_groups(x, ["category"], [("score", True), ("comment_id", False)], "i")
+    at = lambda pct: F.floor(F.lit(pct) * (F.col("i_of") - 1) / 100)
+    return x.where((F.col("i") == at(45)) | (F.col("i") == at(65))).select("category", "comment_id", F.col("i").cast("int").alias("i"))
 
 
 # Vectors
