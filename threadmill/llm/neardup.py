@@ -98,7 +98,7 @@ def estimate(differing: F.Column, k: int) -> F.Column:
 
 
 def sketch_texts(df: DataFrame, key: str, text: str, run: int, bands: int, rows: int, min_words: int) -> DataFrame:
-    """(id, cls, keys, sketch, runs): cls is the hash of the words, so copies share it.
+    """(id, cls, keys, sketch, runs): cls is a 64-bit hash of the words, so copies share it.
 
     Within a task only the first text of a class carries keys, sketch and runs, so a text
     copied over a third of the corpus is sketched and shuffled once per task.
@@ -141,13 +141,18 @@ def similar_classes(sketched: DataFrame, least: float, k: int, slack: float = 0.
     left = rows.select("k", F.col("cls").alias("a"), F.pmod(F.hash("cls"), "parts").alias("salt"))
     right = rows.select("k", F.col("cls").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
     pairs = left.join(right, ["k", "salt"]).where("a < b").select("a", "b").distinct()
-    had = first.select("cls", "sketch", "runs").dropDuplicates(["cls"])
-    for side in ("a", "b"):
-        pairs = pairs.join(had.select(F.col("cls").alias(side), F.struct("sketch", "runs").alias(f"of_{side}")), side)
-    differing = sum((F.bit_count(F.col("of_a.sketch")[i].bitwiseXOR(F.col("of_b.sketch")[i])) for i in range(BITS // 64)), F.lit(0))
-    pairs = pairs.where(estimate(differing, k) >= least - slack)
-    both = F.size(F.array_intersect("of_a.runs", "of_b.runs"))
-    pairs = pairs.withColumn("similarity", both / (F.size("of_a.runs") + F.size("of_b.runs") - both))
+
+    def attach(pairs: DataFrame, what: str) -> DataFrame:
+        own = first.select("cls", what).dropDuplicates(["cls"])
+        for side in ("a", "b"):
+            pairs = pairs.join(own.select(F.col("cls").alias(side), F.col(what).alias(f"{what}_{side}")), side)
+        return pairs
+
+    pairs = attach(pairs, "sketch")
+    differing = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(BITS // 64)), F.lit(0))
+    pairs = attach(pairs.where(estimate(differing, k) >= least - slack).select("a", "b"), "runs")  # few are left
+    both = F.size(F.array_intersect("runs_a", "runs_b"))
+    pairs = pairs.withColumn("similarity", both / (F.size("runs_a") + F.size("runs_b") - both))
     return pairs.where(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
