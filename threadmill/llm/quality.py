@@ -55,7 +55,7 @@ _END = tuple(".!?।…॥")
 _CLOSE = "\"')]}’”»"
 
 #: What is counted of a line, in this order.
-FIELDS = ("chars", "solid", "words", "letters", "symbols", "common", "numbers", "url", "markup", "moji", "hexes", "odd", "long", "tabs", "gaps", "pipes", "commas", "semis", "slashes", "tight", "ends", "pluses", "furniture", "bullet", "stray", "indic")
+FIELDS = ("chars", "solid", "words", "letters", "symbols", "common", "numbers", "url", "markup", "moji", "hexes", "odd", "long", "tabs", "gaps", "pipes", "commas", "semis", "slashes", "tight", "ends", "pluses", "furniture", "bullet", "stray", "indic", "pairs")
 I = {f: i for i, f in enumerate(FIELDS)}
 KINDS = ("prose", "list", "table", "junk")
 
@@ -105,6 +105,8 @@ def count_unit(n: list[int], unit: str, first: bool) -> None:
         n[9] += len(word)
     elif _HEX.match(core) and not core.isdigit() and core not in _COMMON:
         n[10] += len(word)
+    elif len(core) == 2 and core.isdigit():
+        n[26] += len(word)
     elif len(core) > 40 and word.isascii():
         n[12] += len(word)
     elif letters == 0 and not _NUMBER.match(word) and not _BULLET.match(word) and word not in ("|", "│", "/", "-", "+", "&", "–", "—", "•", ",", ";") and not set(word) <= set("-|+=:│─┼"):
@@ -138,7 +140,7 @@ def line_kind(n: list[int], bulleted: bool) -> str:
     real = words - n[18] - n[21] - (1 if bulleted else 0) - (n[15] if n[15] else 0)
     if n[22] >= 0.8 * words:
         return "junk"
-    junk = n[7] + n[8] + n[9] + n[10] + n[11] + n[12]
+    junk = n[7] + n[8] + n[9] + n[10] + n[11] + n[12] + (n[26] if n[10] > n[26] else 0)  # bytes in hex may be digits only
     if junk > 0.5 * solid:
         return "junk"
     share = n[5] / max(1, words - n[6])
