@@ -19,6 +19,7 @@ def build_session(app: str = "threadmill", cpus: int | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     b = SparkSession.builder.master(f"local[{cpus}]").appName(app)
