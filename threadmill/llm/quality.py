@@ -140,7 +140,7 @@ def line_kind(n: list[int], bulleted: bool) -> str:
     real = words - n[18] - n[21] - (1 if bulleted else 0) - (n[15] if n[15] else 0)
     if n[22] >= 0.8 * words:
         return "junk"
-    junk = n[7] + n[8] + n[9] + n[10] + n[11] + n[12] + (n[26] if n[10] > n[26] else 0)  # bytes in hex may be digits only
+    junk = n[7] + n[8] + n[9] + n[10] + n[11] + n[12] + (n[26] if 2 * n[10] > n[26] else 0)  # bytes in hex may be digits only
     if junk > 0.5 * solid:
         return "junk"
     share = n[5] / max(1, words - n[6])
