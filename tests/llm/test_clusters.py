@@ -62,3 +62,22 @@ def test_blocks_split_a_key_that_all_share(spark):
     df = spark.createDataFrame(rows, "node long, vec binary, key long")
     got = C.join_blocks(df, 500, 3, leaf=50)
     assert got.select("u").distinct().count() == 500
+
+
+def test_graph_recall_holds_as_the_table_grows(spark):
+    rng = np.random.default_rng(6)
+    n = 20_000
+    centers = rng.normal(size=(30, C.DIM)) * 2
+    x = centers[rng.integers(0, 30, n)] + rng.normal(size=(n, C.DIM))
+    q = np.clip(np.round(x / np.linalg.norm(x, axis=1, keepdims=True) * 40 * np.sqrt(C.DIM)), -127, 127).astype(np.int8)
+    df = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(q)], "node long, vec binary")
+    got: dict = {}
+    for r in C.neighbour_graph(df, n).collect():
+        got.setdefault(r["u"], set()).add(r["v"])
+    u = q / np.linalg.norm(q.astype(float), axis=1, keepdims=True)
+    hit = 0
+    for i in range(0, n, 100):  # not the nodes that the graph measures itself by
+        s = u @ u[i]
+        s[i] = -2
+        hit += len(got[i] & set(np.argsort(-s)[: C.K]))
+    assert hit / (200 * C.K) >= 0.9

@@ -1,14 +1,14 @@
 """Problem 1: clusters of mutually similar records.
 
 Records become short vectors of their telling words. A graph of near neighbours is found by
-neighbour descent: leaves of random-projection trees are joined all against all, then
-records meet again in groups led by a neighbour drawn at random, which is where neighbours
-of neighbours meet. Communities come from moves that raise modularity, level by
+joining all against all in the cells of leaders drawn at random, and in groups of neighbours
+of neighbours, until the graph has most of the exact neighbours of a sample. Communities come from moves that raise modularity, level by
 level, and are described by their size and by the members with the highest weight inside.
 """
 
 from __future__ import annotations
 
+import logging
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,6 +28,11 @@ DIM = 128
 K = 10
 #: Records that are joined all against all.
 LEAF = 1_000
+#: Leaders of cells, at most; they are broadcast.
+LEADERS = 4_096
+#: Nodes whose exact neighbours measure the recall of the graph.
+QUERIED = 200
+log = logging.getLogger(__name__)
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
 
@@ -108,74 +113,146 @@ def unit(vecs) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def tree_code(seed: int, levels: int):
-    """A column: which leaf of a random-projection tree a vector falls into."""
+def cell_keys(leaders: np.ndarray, levels: int, seed: int):
+    """A column: the cells of the two nearest leaders, each cut by ``levels`` random planes through its leader."""
     planes = np.random.default_rng(seed).normal(size=(DIM, max(1, levels))).astype(np.float32)
 
-    @F.pandas_udf("long")
-    def code(vec: pd.Series) -> pd.Series:
-        bits = (unit(vec) @ planes) > 0
-        return pd.Series(bits @ (1 << np.arange(bits.shape[1])))
+    @F.pandas_udf("array<long>")
+    def keys(vec: pd.Series) -> pd.Series:
+        x, out = unit(vec), []
+        for at in range(0, len(x), 1_000):
+            y = x[at : at + 1_000]
+            s = y @ leaders.T
+            two = np.argpartition(-s, min(1, s.shape[1] - 1), axis=1)[:, :2]
+            code = [two[:, j] if not levels else two[:, j] << levels | ((y - leaders[two[:, j]]) @ planes > 0) @ (1 << np.arange(levels)) for j in range(two.shape[1])]
+            out += np.stack(code, axis=1).astype(np.int64).tolist()
+        return pd.Series(out)
 
-    return code("vec")
+    return keys("vec")
+
+
+def in_cells(nodes: DataFrame, n: int, seed: int, leaf: int = LEAF) -> DataFrame:
+    """The nodes with ``key``, once for each of the two leaders nearest to them, drawn anew by ``seed``.
+
+    Leaders are drawn among the nodes, so dense regions have more. There are ``n`` / half a leaf of them, ``LEADERS``
+    at most; beyond that cells are cut further by planes.
+    """
+    want = max(1, min(LEADERS, -(-2 * n // leaf)))
+    levels = max(0, int(np.ceil(np.log2(max(1.0, n / (want * leaf / 2))))))
+    drawn = nodes.where(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1_000_000_007)) < int(1_000_000_007 * min(1.0, want / n)))
+    leaders = [r["vec"] for r in drawn.select("vec").collect()]  # bounded by LEADERS but for chance
+    if not leaders:
+        return nodes.withColumn("key", F.lit(0).cast("long"))
+    return nodes.withColumn("key", F.explode(cell_keys(unit(leaders), levels, seed)))
+
+
+def by_neighbours(nodes: DataFrame, graph: DataFrame, seed: int) -> DataFrame:
+    """The nodes with ``key``, the least hash within two steps along edges in either direction, so that neighbours of neighbours meet."""
+    both = graph.select("u", "v").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    one = both.groupBy("u").agg(F.least(F.min(F.xxhash64("v", F.lit(seed))), F.xxhash64("u", F.lit(seed))).alias("h"))
+    two = both.join(one.select(F.col("u").alias("v"), "h"), "v").groupBy("u").agg(F.min("h").alias("key"))
+    return nodes.join(two.withColumnRenamed("u", "node"), "node")
 
 
 def join_blocks(nodes: DataFrame, n: int, k: int = K, leaf: int = LEAF) -> DataFrame:
-    """(u, v, s): the best neighbours of each node among those with a like ``key``.
+    """(u, v, s): the best neighbours of each node among those with the same ``key``.
 
-    Nodes are cut by ranges of (key, salt) into blocks of about ``leaf``, so a key that many
-    share is cut too, and each block is joined all against all, in slices.
+    Nodes are cut by ranges of (key, salt) into tasks of about four ``leaf``, so a key that many
+    share is cut too, and each key is joined all against all, in slices.
     """
-    blocks = max(1, -(-n // leaf))
+    tasks = max(1, -(-n // (4 * leaf)))
     salted = nodes.withColumn("salt", F.xxhash64("node", F.lit(1)))
-    parts = salted.repartitionByRange(blocks, "key", "salt") if blocks > 1 else salted.coalesce(1)
+    parts = salted.repartitionByRange(tasks, "key", "salt") if tasks > 1 else salted.coalesce(1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [b[["node", "vec"]] for b in batches]
+        got = [b[["node", "key", "vec"]] for b in batches]
         if not got:
             return
-        whole = pd.concat(got)
-        for lo in range(0, len(whole), 4 * leaf):  # a block may turn out larger than meant
-            b = whole.iloc[lo : lo + 4 * leaf]
-            ids, x = b["node"].to_numpy(), unit(b["vec"])
-            m = min(k, len(ids) - 1)
-            if m < 1:
-                continue
-            for at in range(0, len(ids), 1_000):
-                s = x[at : at + 1_000] @ x.T
-                s[np.arange(len(s)), at + np.arange(len(s))] = -2
-                best = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                yield pd.DataFrame({"u": np.repeat(ids[at : at + len(s)], m), "v": ids[best.ravel()], "s": np.take_along_axis(s, best, 1).ravel()})
-
-    return parts.select("node", "vec").mapInPandas(run, "u long, v long, s float")
+        whole = pd.concat(got).sort_values("key", kind="stable")
+        keys = whole["key"].to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        outs: list[tuple] = []
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            for lo in range(start, end, 4 * leaf):  # a key may be that of more than meant
+                b = whole.iloc[lo : min(end, lo + 4 * leaf)]
+                ids, x = b["node"].to_numpy(), unit(b["vec"])
+                m = min(k, len(ids) - 1)
+                if m < 1:
+                    continue
+                for at in range(0, len(ids), 1_000):
+                    s = x[at : at + 1_000] @ x.T
+                    s[np.arange(len(s)), at + np.arange(len(s))] = -2
+                    best = np.argpartition(-s, m - 1, axis=1)[:, :m]
+                    outs.append((np.repeat(ids[at : at + len(s)], m), ids[best.ravel()], np.take_along_axis(s, best, 1).ravel()))
+            if sum(len(o[0]) for o in outs) > 50_000:
+                yield pd.DataFrame(dict(zip("uvs", map(np.concatenate, zip(*outs, strict=True)), strict=True)))
+                outs.clear()
+        if outs:
+            yield pd.DataFrame(dict(zip("uvs", map(np.concatenate, zip(*outs, strict=True)), strict=True)))
+
+    return parts.select("node", "key", "vec").mapInPandas(run, "u long, v long, s float")
 
 
 def best_of(edges: DataFrame, k: int = K, floor: float = 0.15) -> DataFrame:
     """The ``k`` best distinct neighbours of each node."""
-    distinct = edges.where(F.col("s") > floor).groupBy("u", "v").agg(F.max("s").alias("s"))
+    distinct = edges.where(F.col("s") > floor).repartition("u").groupBy("u", "v").agg(F.max("s").alias("s"))  # one shuffle serves both
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v"))
     return distinct.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
 
-def neighbour_graph(nodes: DataFrame, n: int, k: int = K, trees: int = 2, descents: int = 2, seed: int = 3) -> DataFrame:
-    """(u, v, s): approximate nearest neighbours of the nodes (node, vec) by cosine, by neighbour descent."""
-    levels = max(0, int(np.ceil(np.log2(max(1, n / LEAF)))))
-    got = None
-    for t in range(trees):
-        part = join_blocks(nodes.withColumn("key", tree_code(seed + t, levels)), n, k)
-        got = part if got is None else got.unionByName(part)
-    graph = stage(best_of(got, k), "p1g")
+def exact_neighbours(nodes: DataFrame, n: int, k: int = K, queries: int = QUERIED, seed: int = 3) -> dict[int, list[float]]:
+    """The similarities of the ``k`` best neighbours of ``queries`` nodes drawn by hash, met with all nodes."""
+    drawn = nodes.where(F.pmod(F.xxhash64("node", F.lit(seed - 1)), F.lit(1_000_000_007)) < int(1_000_000_007 * min(1.0, queries / n)))
+    rows = drawn.collect()
+    ids, q = np.array([r["node"] for r in rows], np.int64), unit([r["vec"] for r in rows])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            v = b["node"].to_numpy()
+            s = q @ unit(b["vec"]).T
+            s[ids[:, None] == v[None, :]] = -2
+            m = min(k, len(v))
+            best = np.argpartition(-s, m - 1, axis=1)[:, :m]
+            yield pd.DataFrame({"u": np.repeat(ids, m), "v": v[best.ravel()], "s": np.take_along_axis(s, best, 1).ravel()})
+
+    out: dict[int, list[float]] = {}
+    if rows:
+        for r in best_of(nodes.mapInPandas(run, "u long, v long, s float"), k).collect():
+            out.setdefault(r["u"], []).append(r["s"])
+    return out
+
+
+def recall_of(graph: DataFrame, truth: dict[int, list[float]]) -> float:
+    """The share of the exact neighbours in ``truth`` that the graph has; of equally similar ones any counts."""
+    worst = {u: min(s) - 1e-4 for u, s in truth.items()}
+    total = sum(len(s) for s in truth.values())
+    if not total:
+        return 1.0
+    got = graph.where(F.col("u").isin(list(worst))).select("u", "s").collect()
+    return sum(r["s"] >= worst[r["u"]] for r in got) / total
+
+
+def neighbour_graph(nodes: DataFrame, n: int, k: int = K, target: float = 0.95, most: int = 60, seed: int = 3) -> DataFrame:
+    """(u, v, s): approximate nearest neighbours of the nodes (node, vec) by cosine.
+
+    Nodes meet in the cells of leaders drawn anew and in groups of neighbours of neighbours, by turns, until the
+    graph has ``target`` of the exact neighbours of ``QUERIED`` nodes, whatever the size of the table. It is an error
+    if ``most`` turns do not get there.
+    """
     if n <= LEAF:
-        return graph
-    for d in range(descents):
-        got = graph
-        for half in (0, 1):
-            salt = F.lit(seed * 100 + 2 * d + half)
-            lead = graph.groupBy("u").agg(F.min(F.xxhash64("v", salt)).alias("h")).select(F.col("u").alias("node"), "h")
-            led = nodes.join(lead, "node").withColumn("key", F.least("h", F.xxhash64("node", salt))).drop("h")
-            got = got.unionByName(join_blocks(led, n, k))
-        graph = stage(best_of(got, k), "p1g")
-    return graph
+        return stage(best_of(join_blocks(nodes.withColumn("key", F.lit(0).cast("long")), n, k), k), "p1g")
+    truth = exact_neighbours(nodes, n, k, seed=seed)
+    graph, recall = None, 0.0
+    for t in range(most):
+        # two turns in cells come first, as joins of neighbours need a graph to start from
+        keyed = in_cells(nodes, n, seed + t) if t < 2 or t % 2 else by_neighbours(nodes, graph, seed + t)
+        part = join_blocks(keyed, 2 * n if t < 2 or t % 2 else n, k)
+        graph = stage(best_of(part if graph is None else graph.unionByName(part), k), "p1g")
+        recall = recall_of(graph, truth)
+        log.info("turn %d: recall %.3f", t + 1, recall)
+        if recall >= target:
+            return graph
+    raise RuntimeError(f"after {most} turns the neighbour graph of {n} nodes has a recall of {recall:.3f}, wanted {target}")
 
 
 def communities(edges: DataFrame, rounds: tuple[int, ...] = (5, 5, 4), gamma: float = 1.0, few: float = 0.01) -> DataFrame:
