@@ -81,3 +81,18 @@ def test_graph_recall_holds_as_the_table_grows(spark):
         s[i] = -2
         hit += len(got[i] & set(np.argsort(-s)[: C.K]))
     assert hit / (200 * C.K) >= 0.9
+
+
+def test_communities_do_not_break_up_as_the_graph_grows(spark):
+    half, near = 1_500, 4  # two long rings whose nodes see only their next neighbours, so that moves have far to go
+    e = {(c * half + i, c * half + (i + d) % half) for c in (0, 1) for i in range(half) for d in range(1, near + 1)}
+    both = [(x, y, 1.0) for a, b in sorted(e) for x, y in ((a, b), (b, a))]
+    df = spark.createDataFrame(both, "u long, v long, w float")
+    for more in ({}, {"alone": 0}):
+        got = {r["node"]: r["community"] for r in C.communities(df, **more).collect()}
+        assert len(got) == 2 * half and not {got[i] for i in range(half)} & {got[i] for i in range(half, 2 * half)}
+        total, inside, k = len(both), 0, {}
+        for a, b, _ in both:
+            inside += got[a] == got[b]
+            k[got[a]] = k.get(got[a], 0) + 1
+        assert inside / total - sum((x / total) ** 2 for x in k.values()) >= 0.93 and len(k) <= 45, more

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ LEAF = 1_000
 LEADERS = 4_096
 #: Nodes whose exact neighbours measure the recall of the graph.
 QUERIED = 200
+#: Edges up to which communities are finished in memory.
+ALONE = 200_000
 log = logging.getLogger(__name__)
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
@@ -255,42 +258,114 @@ def neighbour_graph(nodes: DataFrame, n: int, k: int = K, target: float = 0.95,
     raise RuntimeError(f"after {most} turns the neighbour graph of {n} nodes has a recall of {recall:.3f}, wanted {target}")
 
 
-def communities(edges: DataFrame, rounds: tuple[int, ...] = (5, 5, 4), gamma: float = 1.0, few: float = 0.01) -> DataFrame:
+def move_alone(u: np.ndarray, v: np.ndarray, w: np.ndarray, gamma: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes and their communities, by moves one after the other until none raises modularity, level by level until nothing merges."""
+    ids, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, total = ends[: len(u)], ends[len(u) :], float(w.sum()) or 1.0
+    names, member, rng = ids, np.arange(len(ids)), np.random.default_rng(3)
+    while True:
+        n = len(names)
+        near: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+        for i, j, x in zip(a.tolist(), b.tolist(), w.tolist(), strict=True):
+            if i != j:
+                near[i].append((j, x))
+        k = np.bincount(a, w, n).tolist()
+        sums, c, moved, order = k[:], list(range(n)), True, rng.permutation(n).tolist()  # in the order of ids chains would grow
+        while moved:  # ends, as each move raises modularity
+            moved = False
+            for i in order:
+                links: dict[int, float] = {}
+                for j, x in near[i]:
+                    links[c[j]] = links.get(c[j], 0.0) + x
+                own = c[i]
+                sums[own] -= k[i]
+                best, gain = own, links.get(own, 0.0) - gamma / total * k[i] * sums[own] + 1e-9
+                for o, x in links.items():
+                    g = x - gamma / total * k[i] * sums[o]
+                    if g > gain:
+                        best, gain = o, g
+                sums[best] += k[i]
+                moved |= best != own
+                c[i] = best
+        left, c = np.unique(c, return_inverse=True)
+        member, names = c[member], names[left]
+        if len(left) == n:
+            return ids, names[member]
+        at, inverse = np.unique(c[a] * len(left) + c[b], return_inverse=True)
+        w, a, b = np.bincount(inverse, w), at // len(left), at % len(left)
+
+
+def move_all(edges: DataFrame, label: DataFrame, few: float, gamma: float, seed: int, little: float, most: int) -> tuple[DataFrame, int]:
+    """``label`` (node, k, c) after moves to the neighbouring community that raises modularity most, half of the nodes at a time, and the number of nodes.
+
+    Two rounds that move fewer than ``few`` of the nodes, or raise modularity by less than ``little``, are the last.
+    """
+    r = label.agg(F.sum("k"), F.count("*")).first()
+    total, n = r[0] or 1.0, r[1]
+    shares, heights = [1.0], []
+    for t in range(most):
+        own = label.join(label.groupBy("c").agg(F.sum("k").alias("sum_k")), "c")
+        near = edges.where("u <> v").join(own.select(F.col("node").alias("v"), "c", "sum_k"), "v").select("u", "c", "w", "sum_k", F.lit(None).cast("double").alias("k"))
+        near = near.unionByName(own.select(F.col("node").alias("u"), "c", F.lit(0.0).alias("w"), "sum_k", "k"))
+        # one shuffle serves all that follows
+        near = near.repartition("u").groupBy("u", "c").agg(F.sum("w").alias("w"), F.max("sum_k").alias("sum_k"), F.max("k").alias("own_k"))
+        near = near.withColumn("k", F.max("own_k").over(Window.partitionBy("u")))
+        mine = F.col("own_k").isNotNull()
+        gain = F.col("w") - F.lit(gamma / total) * F.col("k") * (F.col("sum_k") - F.when(mine, F.col("k")).otherwise(0.0))
+        best = near.withColumn("gain", gain).groupBy("u").agg(
+            F.max(F.struct(F.col("gain"), F.col("c"))).alias("best"), F.max(F.when(mine, F.col("gain"))).alias("stay"), F.first("k").alias("k"), F.max(F.when(mine, F.col("c"))).alias("own")
+        )
+        turn = F.pmod(F.xxhash64("u", F.lit(seed + t // 2)), F.lit(2)) == t % 2
+        go = turn & (F.col("best.gain") > F.col("stay") + 1e-9)
+        label = stage(best.select(F.col("u").alias("node"), "k", F.when(go, F.col("best.c")).otherwise(F.col("own")).alias("c"), go.cast("int").alias("moved"), "stay"), "p1l")
+        r = label.agg(F.sum("moved"), F.sum("stay")).first()
+        label = label.select("node", "k", "c")
+        shares.append((r[0] or 0) / max(1, n))
+        heights.append((r[1] or 0.0) / total)  # modularity before the round, but for a constant
+        log.info("round %d: %d nodes, moved %.4f, modularity %.5f", t + 1, n, shares[-1], heights[-1])
+        if shares[-1] + shares[-2] < few or t > 3 and heights[-1] - heights[-3] < little:
+            return label, n
+    raise RuntimeError(f"{shares[-1]:.3f} of {n} nodes still move after {most} rounds")
+
+
+def communities(edges: DataFrame, gamma: float = 1.0, few: float = 0.01, slow: float = 0.1, little: float = 2e-4, alone: int = ALONE, most: int = 200) -> DataFrame:
     """(node, community) of an undirected graph given by (u, v, w) in both directions.
 
-    Each level moves nodes to the neighbouring community that raises modularity most, half
-    of the nodes at a time, then communities become the nodes of the next level. A round that moves
-    fewer than ``few`` of the nodes ends a level.
+    Nodes move until two rounds move fewer than ``slow`` of them, then communities become the nodes of the
+    next level, until a level merges nothing. Last, the nodes themselves move between the final communities until two rounds
+    move fewer than ``few`` of them. A level of ``alone`` edges or fewer is finished in memory. More than ``most``
+    rounds or levels are an error.
     """
-    member = None
-    for level, times in enumerate(rounds):
+    spark, member, first = edges.sparkSession, None, None
+    for level in range(most):
         edges = stage(edges, "p1e")
-        label = stage(edges.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")).withColumn("c", F.col("node")).withColumn("moved", F.lit(0)), "p1l")
-        r = label.agg(F.sum("k"), F.count("*")).first()
-        total, n = r[0] or 1.0, r[1]
-        moved_before = 1.0
-        for t in range(times):
-            sums = label.groupBy("c").agg(F.sum("k").alias("sum_k"))
-            near = edges.where("u <> v").join(label.select(F.col("node").alias("v"), "c"), "v").select("u", "c", "w")
-            near = near.unionByName(label.select(F.col("node").alias("u"), "c", F.lit(0.0).alias("w"))).groupBy("u", "c").agg(F.sum("w").alias("w"))
-            near = near.join(sums, "c").join(label.select(F.col("node").alias("u"), "k", F.col("c").alias("own")), "u")
-            rest = F.col("sum_k") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
-            gain = F.col("w") - F.lit(gamma / total) * F.col("k") * rest
-            best = near.withColumn("gain", gain).groupBy("u").agg(
-                F.max(F.struct(F.col("gain"), F.col("c"))).alias("best"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"), F.first("k").alias("k"), F.first("own").alias("own")
-            )
-            turn = F.pmod(F.xxhash64("u", F.lit(level * 100 + t // 2)), F.lit(2)) == t % 2
-            go = turn & (F.col("best.gain") > F.col("stay") + 1e-9)
-            label = stage(best.select(F.col("u").alias("node"), "k", F.when(go, F.col("best.c")).otherwise(F.col("own")).alias("c"), go.cast("int").alias("moved")), "p1l")
-            moved = (label.agg(F.sum("moved")).first()[0] or 0) / max(1, n)
-            if moved + moved_before < few:
-                break
-            moved_before = moved
-        step = label.select("node", F.col("c").alias("community"))
-        member = step if member is None else stage(member.withColumnRenamed("community", "mid").join(step.withColumnRenamed("node", "mid"), "mid").select("node", "community"), "p1m")
+        done = edges.count() <= alone
+        if done:
+            t = edges.select("u", "v", F.col("w").cast("double").alias("w")).orderBy("u", "v").toArrow()
+            ids, got = move_alone(*(t[x].to_numpy() for x in "uvw"), gamma)
+            member = onward(member, spark.createDataFrame(pa.table({"node": pa.array(ids, pa.int64()), "community": pa.array(got, pa.int64())})))
+        else:
+            degree = stage(edges.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")), "p1k")
+            first = first or (edges, degree)
+            label, n = move_all(edges, degree.withColumn("c", F.col("node")), slow, gamma, level * 1_000, little, most)
+            step = label.select("node", F.col("c").alias("community"))
+            member = onward(member, step)
+            done = step.select("community").distinct().count() == n
+        if done and first:
+            label, _ = move_all(first[0], first[1].join(member, "node").withColumnRenamed("community", "c"), few, gamma, -1_000, little, most)
+            return label.select("node", F.col("c").alias("community"))
+        if done:
+            return member
         up, vp = step.withColumnRenamed("node", "u").withColumnRenamed("community", "cu"), step.withColumnRenamed("node", "v").withColumnRenamed("community", "cv")
         edges = edges.join(up, "u").join(vp, "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w"))
-    return member
+    raise RuntimeError(f"communities still merge after {most} levels")
+
+
+def onward(member: DataFrame | None, step: DataFrame) -> DataFrame:
+    """(node, community) after one more level."""
+    if member is None:
+        return stage(step, "p1m")
+    return stage(member.withColumnRenamed("community", "mid").join(step.withColumnRenamed("node", "mid"), "mid").select("node", "community"), "p1m")
 
 
 def undirected(graph: DataFrame) -> DataFrame:
