@@ -96,3 +96,14 @@ def test_communities_do_not_break_up_as_the_graph_grows(spark):
             inside += got[a] == got[b]
             k[got[a]] = k.get(got[a], 0) + 1
         assert inside / total - sum((x / total) ** 2 for x in k.values()) >= 0.93 and len(k) <= 45, more
+
+
+def test_null_and_unknown_topics_need_no_agreement(spark):
+    texts = [(f"a{i}", "apple apple tree") for i in range(5)] + [(f"b{i}", "brick brick wall") for i in range(5)]
+    df = spark.createDataFrame(texts, "id string, text string")
+    rows = spark.createDataFrame([(i, 1 if i[0] == "a" else 2) for i, _ in texts], "id string, topic_id int")
+    known = spark.createDataFrame([(1,), (2,)], "topic_id int")
+    odd = spark.createDataFrame([("b0", None, 1), ("b1", 99, 1), ("b2", 2, 1), ("a0", 2, 1), ("a1", 1, 1)], "id string, recorded int, topic_id int")
+    weights = {w: 1.0 for w in ("apple", "tree", "brick", "wall")}
+    got = {(r["id"], r["topic_id"]) for r in C.agree(df, weights, C.suspects_of(odd, known), rows).collect()}
+    assert got == {("b0", 1), ("b1", 1), ("a0", 1)}

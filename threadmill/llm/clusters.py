@@ -425,7 +425,7 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agree(df: DataFrame, weights: dict[str, float], suspects: DataFrame, right: DataFrame, smooth: float = 0.2) -> DataFrame:
-    """Suspects (id, topic_id) whose own words speak for ``topic_id`` more than for any other.
+    """Suspects (id, topic_id, sure) that are sure or whose own words speak for ``topic_id`` more than for any other, by naive Bayes.
 
     ``right`` has (id, topic_id) by community. The table of words by topics is bounded: by word_weights'
     bound on words, and by the topics of a fixed table.
@@ -461,19 +461,30 @@ def agree(df: DataFrame, weights: dict[str, float], suspects: DataFrame, right:
         logs, topics, prior = shared.value
         for b in batches:
             keep = []
-            for t, topic in zip(b["text"], b["topic_id"], strict=True):
+            for t, topic, sure in zip(b["text"], b["topic_id"], b["sure"], strict=True):
+                if sure:
+                    keep.append(True)
+                    continue
                 s = prior + sum((logs[x] for x in set(tokens(t, rewrite)) if x in logs), np.zeros(len(topics)))
                 keep.append(topics[int(s.argmax())] == topic)
             yield b.loc[keep, ["id", "topic_id"]]
 
-    return df.join(suspects, "id").dropDuplicates(["id"]).select("id", "text", "topic_id").mapInPandas(judge, "id string, topic_id int")
+    return df.join(suspects, "id").dropDuplicates(["id"]).select("id", "text", "topic_id", "sure").mapInPandas(judge, "id string, topic_id int")
+
+
+def suspects_of(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, topic_id, sure) of (id, recorded, topic_id) with another topic recorded; sure where the recorded one is null or not ``known``."""
+    rows = rows.where(~F.col("recorded").eqNullSafe(F.col("topic_id")))
+    rows = rows.join(F.broadcast(known.select(F.col("topic_id").alias("recorded"), F.lit(True).alias("is_known"))), "recorded", "left")
+    return rows.select("id", "topic_id", F.col("is_known").isNull().alias("sure"))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts whose recorded topic is null or at odds with their cluster, with the cluster's topic.
 
     A cluster's topic is the known one that most of its posts hold; a cluster without any, and a
-    post in no cluster, have -1. An exact look at the words of the suspects follows.
+    post in no cluster, have -1. A recorded topic that is null or not in topic_labels is a case as it is; other suspects come
+    out only if a classifier by words, which may err, agrees with their cluster.
     """
     posts, topics = topic_posts(spark, sf_dir)
     weights = word_weights(spread(posts))
@@ -483,7 +494,7 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     votes = rows.join(F.broadcast(known), rows["recorded"] == known["topic_id"]).groupBy("c", "topic_id").agg(F.count("*").alias("n"))
     right = votes.groupBy("c").agg(F.max(F.struct(F.col("n"), -F.col("topic_id"))).alias("m")).select("c", (-F.col("m.col2")).cast("int").alias("topic_id"))
     rows = stage(rows.join(right, "c", "left").withColumn("topic_id", F.coalesce("topic_id", F.lit(-1))), "p1r")
-    suspects = rows.where(~F.col("recorded").eqNullSafe(F.col("topic_id"))).select("id", "topic_id")
+    suspects = suspects_of(rows, known)
     return agree(posts, weights, suspects, rows.select("id", "topic_id"))
 
 
