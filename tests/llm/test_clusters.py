@@ -103,7 +103,21 @@ def test_null_and_unknown_topics_need_no_agreement(spark):
     df = spark.createDataFrame(texts, "id string, text string")
     rows = spark.createDataFrame([(i, 1 if i[0] == "a" else 2) for i, _ in texts], "id string, topic_id int")
     known = spark.createDataFrame([(1,), (2,)], "topic_id int")
-    odd = spark.createDataFrame([("b0", None, 1), ("b1", 99, 1), ("b2", 2, 1), ("a0", 2, 1), ("a1", 1, 1)], "id string, recorded int, topic_id int")
+    odd = spark.createDataFrame([("b0", None, 1, 7), ("b1", 99, 1, 7), ("b2", 2, 1, 7), ("a0", 2, 1, 7), ("a1", 1, 1, 7)], "id string, recorded int, topic_id int, c long")
     weights = {w: 1.0 for w in ("apple", "tree", "brick", "wall")}
     got = {(r["id"], r["topic_id"]) for r in C.agree(df, weights, C.suspects_of(odd, known), rows).collect()}
     assert got == {("b0", 1), ("b1", 1), ("a0", 1)}
+
+
+def test_posts_in_no_cluster_are_kept(spark):
+    posts = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "id string, text string")
+    topics = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("gone", 1)], "id string, topic_id int")
+    member = spark.createDataFrame([("a", 10), ("b", 11)], "id string, node long")
+    community = spark.createDataFrame([(10, 10)], "node long, community long")
+    rows = C.placed(posts, topics, member, community)
+    assert {(r["id"], r["recorded"], r["c"]) for r in rows.collect()} == {("a", 1, 10), ("b", 1, None), ("c", 1, None)}
+    known = spark.createDataFrame([(1,)], "topic_id int")
+    sure = C.suspects_of(rows.withColumn("topic_id", C.F.when(C.F.col("c").isNull(), -1).otherwise(1)), known)
+    assert {(r["id"], r["topic_id"], r["sure"]) for r in sure.collect()} == {("b", -1, True), ("c", -1, True)}
+    edges = spark.createDataFrame([], "u long, v long, w float")
+    assert {(r["cluster_id"], r["size"]) for r in C.typical(member, community, edges).collect()} == {(10, 1), (11, 1)}

@@ -66,7 +66,8 @@ def word_weights(df: DataFrame, rarest: float = 1 / 20_000, commonest: float = 0
     """Weights of telling words: rare among texts, but often repeated within those that have them.
 
     Words in fewer than ``rarest`` of the texts are left out, so there are at most as many
-    as a text has words, divided by ``rarest``, whatever the number of texts.
+    as a text has words, divided by ``rarest``, whatever the number of texts. The cut depends on size:
+    up to 60,000 texts a word counts from 3 texts on, beyond that from ``rarest`` of them (35 of 700,000).
     """
     counts = stage(word_counts(df), "p1w")
     n = df.count()
@@ -407,11 +408,11 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def typical(member: DataFrame, community: DataFrame, edges: DataFrame, top: int = 5) -> DataFrame:
-    """(cluster_id, size, typical): the members with the highest weighted degree inside their community."""
+    """(cluster_id, size, typical): the members with the highest weighted degree inside their community. A node without an edge is its own."""
     cu, cv = community.select(F.col("node").alias("u"), F.col("community").alias("a")), community.select(F.col("node").alias("v"), F.col("community").alias("b"))
     inside = edges.join(cu, "u").join(cv, "v").where("a = b").groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("degree"))
     one = member.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    rows = one.join(community, "node").join(inside, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0.0)))
+    rows = one.join(community, "node", "left").withColumn("community", F.coalesce("community", "node")).join(inside, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0.0)))
     rank = F.row_number().over(Window.partitionBy("community").orderBy(F.desc(F.round("degree", 6)), "id"))
     best = rows.withColumn("r", rank).where(F.col("r") <= top).groupBy("community").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]).alias("typical"))
     size = rows.groupBy("community").agg(F.sum("copies").alias("size"))
@@ -472,11 +473,17 @@ def agree(df: DataFrame, weights: dict[str, float], suspects: DataFrame, right:
     return df.join(suspects, "id").dropDuplicates(["id"]).select("id", "text", "topic_id", "sure").mapInPandas(judge, "id string, topic_id int")
 
 
+def placed(posts: DataFrame, topics: DataFrame, member: DataFrame, community: DataFrame) -> DataFrame:
+    """(id, recorded, c) of every post with content in ``topics``; ``c`` is null for a post without a telling word or without a neighbour."""
+    rows = topics.join(posts.select("id"), "id", "left_semi").join(member, "id", "left").join(community, "node", "left")
+    return rows.select("id", F.col("topic_id").alias("recorded"), F.col("community").alias("c"))
+
+
 def suspects_of(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """(id, topic_id, sure) of (id, recorded, topic_id) with another topic recorded; sure where the recorded one is null or not ``known``."""
+    """(id, topic_id, sure) of (id, recorded, topic_id) with another topic recorded; sure where the recorded one is null or not ``known``, or ``c`` is null."""
     rows = rows.where(~F.col("recorded").eqNullSafe(F.col("topic_id")))
     rows = rows.join(F.broadcast(known.select(F.col("topic_id").alias("recorded"), F.lit(True).alias("is_known"))), "recorded", "left")
-    return rows.select("id", "topic_id", F.col("is_known").isNull().alias("sure"))
+    return rows.select("id", "topic_id", (F.col("is_known").isNull() | F.col("c").isNull()).alias("sure"))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -490,7 +497,7 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = word_weights(spread(posts))
     member, community, _ = cluster(posts, weights, topics)
     known = table(spark, sf_dir, "topic_labels").select("topic_id").where("topic_id is not null").distinct()
-    rows = topics.join(member, "id").join(community, "node", "left").select("id", F.col("topic_id").alias("recorded"), F.coalesce("community", "node").alias("c"))
+    rows = placed(posts, topics, member, community)
     votes = rows.join(F.broadcast(known), rows["recorded"] == known["topic_id"]).groupBy("c", "topic_id").agg(F.count("*").alias("n"))
     right = votes.groupBy("c").agg(F.max(F.struct(F.col("n"), -F.col("topic_id"))).alias("m")).select("c", (-F.col("m.col2")).cast("int").alias("topic_id"))
     rows = stage(rows.join(right, "c", "left").withColumn("topic_id", F.coalesce("topic_id", F.lit(-1))), "p1r")
