@@ -49,3 +49,22 @@ def test_frame(spark):
 def test_replace():
     s = [{"start": 0, "end": 2, "pii_type": "email"}, {"start": 1, "end": 3, "pii_type": "phone"}, {"start": 4, "end": 5, "pii_type": "address"}]
     assert P.replace_spans("abcde", s) == "[EMAIL]cd[ADDRESS]" and P.replace_spans("abc", []) == "abc"
+
+
+def test_a_rare_kind_is_not_lost_beside_a_common_one(spark, monkeypatch):
+    monkeypatch.setattr(P, "SAMPLE", 20)
+    rows = [("post", str(i), f"Write to kiran{i}@mail.example.net or to asha{i}@uni.example.org, please.") for i in range(400)]
+    rows += [("post", f"p{i}", f"Call me on +91 98765 4321{i} please.") for i in range(3)]
+    df = spark.createDataFrame(rows, "src string, rec_id string, text string")
+    gaz = spark.createDataFrame([("Asha", "given")], "name_part string, part_kind string")
+    got = {(r["rec_id"], r["pii_type"]) for r in P.detect(df, gaz).collect()}
+    assert {(f"p{i}", "phone") for i in range(3)} <= got and ("7", "email") in got
+
+
+def test_a_kind_without_weights_keeps_its_vote(spark, monkeypatch):
+    monkeypatch.setattr(P, "SAMPLE", 1)  # a sample that misses every phone, as its share is one in so many
+    rows = [("post", f"p{i}", f"Call me on +91 98765 4321{i} please.") for i in range(9)]
+    df = spark.createDataFrame(rows, "src string, rec_id string, text string")
+    gaz = spark.createDataFrame([("Asha", "given")], "name_part string, part_kind string")
+    monkeypatch.setattr(P, "train", lambda *a: None)
+    assert {r["rec_id"] for r in P.detect(df, gaz).where("pii_type = 'phone'").collect()} == {f"p{i}" for i in range(9)}

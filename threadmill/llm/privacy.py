@@ -24,7 +24,7 @@ from threadmill.llm.records import records
 from threadmill.session import spread, stage, table
 
 TYPES = ("email", "phone", "id_number", "address", "person_name")
-#: Spans that the classifier is trained on, at most; drawn by hash of the span.
+#: Spans of each kind that the classifier is trained on, at most; drawn by hash of the span.
 SAMPLE = 20_000
 DIM = 1024
 
@@ -322,21 +322,24 @@ def detect(df: DataFrame, gazetteer: DataFrame) -> DataFrame:
     for r in spans.groupBy("kind", "votes").count().collect():  # at most 3 to the number of labelers
         counts.setdefault(r["kind"], []).append((tuple(r["votes"]), r["count"]))
     likely = {k: reliabilities(sorted(c)) for k, c in counts.items()}
-    total = sum(n for c in counts.values() for _, n in c)
-    share = max(1, -(-total // SAMPLE))
+    # the share is that of the kind, so a rare kind is not lost beside a common one
+    share = F.lit(1)
+    for k, c in counts.items():
+        share = F.when(F.col("kind") == k, F.lit(max(1, -(-sum(n for _, n in c) // SAMPLE)))).otherwise(share)
     rows: dict[str, list] = {}
-    for r in spans.where(F.pmod(F.xxhash64("src", "rec_id", "start"), F.lit(share)) == 0).select("kind", "votes", "feats").collect():
+    for r in spans.where(F.pmod(F.xxhash64("src", "rec_id", "start"), share) == 0).select("kind", "votes", "feats").collect():
         rows.setdefault(r["kind"], []).append((r["votes"], r["feats"], likely[r["kind"]][tuple(r["votes"])]))
     weights = {k: train(v, len(v[0][0])) for k, v in rows.items()}
-    shared = df.sparkSession.sparkContext.broadcast(weights)
+    shared = df.sparkSession.sparkContext.broadcast((weights, likely))  # likely: at most 3 to the number of labelers
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights, likely = shared.value
         for b in batches:
             p = []
             for k, v, f in zip(b["kind"], b["votes"], b["feats"], strict=True):
-                w = shared.value.get(k)
+                w = weights.get(k)
                 if w is None:
-                    p.append(0.0)
+                    p.append(float(likely[k][tuple(v)]))
                     continue
                 base = 3 * len(v)
                 s = w[one_hot(v)].sum() + 0.5 * w[[base + x for x in f]].sum() + w[-1]
