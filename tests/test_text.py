@@ -52,6 +52,14 @@ def test_anonymize(spark):
     assert len(one(spark, lambda c: X.anonymize(c, 10), "x" * 50)) == 10
 
 
+def test_anonymize_whole_texts(spark, tmp_path):
+    from threadmill.plans.catalogue import QUERIES
+
+    spark.createDataFrame([("a", "word " * 500 + "u/me")], "id string, full_text string").write.parquet(str(tmp_path / "posts_merged_final_preprocessed.parquet"))
+    (row,) = QUERIES["anonymize_text"](spark, str(tmp_path)).collect()
+    assert row["anonymous"] == "word " * 500 + "[user]"
+
+
 def test_audit_and_flags(spark):
     df = spark.createDataFrame([("[removed]",), ("a view poll",), (None,), ("fine",)], "t string")
     r = X.artifact_audit(df, "t").first()

@@ -190,8 +190,8 @@ def without_stopwords(words: Column, stop: Sequence[str] = STOPWORDS) -> Column:
     return F.filter(words, lambda w: ~w.isin(*stop))
 
 
-def anonymize(text: Column, most: int = 320, contacts: bool = False) -> Column:
-    """Users, links, and if asked for communities, mails and phones, as placeholders; one line, cut to ``most``.
+def anonymize(text: Column, most: int | None = 320, contacts: bool = False) -> Column:
+    """Users, links, and if asked for communities, mails and phones, as placeholders; one line, cut to ``most``, or whole if that is None.
 
     Users come before links, so a user's mark inside a link is rewritten first.
     """
@@ -202,7 +202,7 @@ def anonymize(text: Column, most: int = 320, contacts: bool = False) -> Column:
     if contacts:
         c = F.regexp_replace(c, r"[\w.+-]+@[\w-]+\.[\w.-]+", "[email]")
         c = F.regexp_replace(c, r"\+?\d[\d -]{8,}\d", "[phone]")
-    return F.substring(squeeze(c), 1, most)
+    return squeeze(c) if most is None else F.substring(squeeze(c), 1, most)
 
 
 # Phrases of topics, joined in this order.

@@ -673,7 +673,7 @@ def _(spark, d):
 
 @query("anonymize_text")
 def _(spark, d):
-    return posts(spark, d).select("id", X.anonymize(F.col("full_text"), 600, True).alias("anonymous")).distinct()
+    return posts(spark, d).select("id", X.anonymize(F.col("full_text"), None, True).alias("anonymous")).distinct()
 
 
 @query("clean_markup")
