@@ -2,7 +2,9 @@
 
 All that decides is how many documents have each size, so the packing is computed on
 that histogram, which the capacity bounds: Martello and Toth's dominance rules fix
-small sets that no other choice betters, and best fit packs the remainder. The result
+small sets that no other choice betters. The remainder is not packed by best fit: each container
+in turn takes the largest item left and the items that fill its room best, found exactly by subset sums,
+as best fit never looks ahead at what a container could still take. The result
 is a list of fillings, each used many times; documents of one size are numbered in
 parallel and the numbers say which container each goes to.
 """
@@ -146,6 +148,7 @@ def best_filling(sizes: Sizes, j: int, capacity: int) -> dict[int, int]:
 
 
 def best_fit(sizes: Sizes, capacity: int) -> list[Filling]:
+    """Container by container, the fullest one around the largest item left; not the classical best fit."""
     out: list[Filling] = []
     while sizes.order:
         got = best_filling(sizes, sizes.order[-1], capacity)
