@@ -18,7 +18,7 @@ def corpus(n, seed=3):
 def test_learns_in_spite_of_noise(spark):
     rows = corpus(600)
     df = spark.createDataFrame([("post", i, t, lab) for i, t, lab, _ in rows], "src string, rec_id string, text string, lang string")
-    net, codes = L.train(df, {c: c for c in WORDS}, 200, 200)
+    net, codes = L.train(df, {c: c for c in WORDS}, 200, (100, 100, 100))
     fresh = corpus(200, 9)
     mixed = fresh[0][1] + "\n\n" + next(t for _, t, _, c in fresh if c != fresh[0][3])
     extra = [("post", "m", mixed, "en"), ("post", "b", "   ", "en"), ("post", "d", "12 34 !!", None), ("post", "l", ("the and was with this " * 20_000), None)]

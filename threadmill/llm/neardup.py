@@ -27,7 +27,7 @@ BITS = 1024
 
 def plain_rewriter() -> Rewriter:
     """Look-alikes to plain forms without corpus counts: the ASCII member if there is one."""
-    symbols = [chr(c) for c in range(0x80, 0x2FFF)] + [chr(c) for c in range(0xFB00, 0xFFEF)]
+    symbols = [chr(c) for c in range(0x80, 0x3001)] + [chr(c) for c in range(0xFB00, 0xFFEF)]
     to: dict[str, str] = {}
     for members in alike(symbols).classes():
         best = "" if "" in members else min(members, key=lambda s: (not s.isascii(), len(s), s))
