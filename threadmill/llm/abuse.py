@@ -1,10 +1,11 @@
 """Problem 6: abusive, hateful and sexual content, by a subsequence string kernel.
 
 Sentences are compared by the gap-weighted subsequences of characters they share, so that
-spaced, dotted or starred insults stay close to the plain ones. A support vector machine on
-Nystrom features of landmark sentences is trained for each kind. As the kernel's features can be
-written out, landmarks and machine fold into one weight for each subsequence, and scoring
-a sentence is a sum.
+spaced, dotted or starred insults stay close to the plain ones. Support vector machines on
+Nystrom features of landmark sentences are trained on general labelled sentences, which tell the kinds,
+and on a bounded sample of annotated comments, whose labels are noisy and say only that something is toxic.
+As the kernel's features can be written out, landmarks and machines fold into one weight for each
+subsequence, and scoring a sentence is a sum.
 """
 
 from __future__ import annotations
@@ -23,48 +24,45 @@ from threadmill.llm.records import has_content
 from threadmill.session import spread, table
 
 KINDS = ("abusive", "hateful", "sexual")
-#: Decision values above this are cases; set between the labelled sentences' false and true ones.
-THRESHOLD = -0.1
-#: Ordinary sentences of the corpus that the machines are trained against, at most, drawn by hash.
-SAMPLE = 1_500
+#: Decision values above this are cases: the side of the machine.
+THRESHOLD = 0.0
+#: Share of toxic labels among the sentences like it from which a sentence is learnt as toxic.
+CUT = 0.4
+#: Annotated comments drawn by hash for training, at most; labelled toxic and not, that the first pass learns from.
+COMMENTS, TOXIC, CLEAN = 64_000, 1_500, 4_500
+#: Sentences that the last pass learns from, at most: the most suspect ones, and some of the others.
+SUSPECT, OTHER = 6_000, 1_000
 DECAY = 0.7
 #: Subsequences of so many characters within so many.
 SHAPES = ((3, 5), (4, 6))
 DIM = 1 << 16
 LONGEST = 160
 
-# Words that fill the places in the labelled sentences.
-INSULTS = "idiot,moron,loser,clown,dumbass,jackass,scumbag,parasite,brainless pig,pathetic worm,piece of trash,waste of oxygen,stupid fool,ugly rat".split(",")
-GAALI = "gadhe,kamine,nalayak,bewakoof,nikamme,dhakkan,harami,namoone,ullu ke patthe,ghatiya insaan".split(",")
-GROUPS = "girls,women coders,migrants,outsiders,villagers,quota students,disabled candidates,small town people,people from that region,people with that accent".split(",")
-LOG = "ladkiyan,gaon wale,baahar wale,us state ke log,aise lehje wale".split(",")
-WARES = "nude pics,adult videos,xxx clips,explicit albums,nsfw cam shows,hookup links".split(",")
-THINGS = "mock test,exam,placement,result,cgpa,interview,revision,rank,seat,college".split(",")
-# Labelled sentences; {i} an insult, {h} one in Hindi, {g} a group, {l} one in Hindi, {w} a ware, {t} a matter.
+#: General sentences of each kind and of none, written for this engine; no sentence of the tables is among them.
 LABELLED = {
-    "abusive": """you are a {i} and your {t} proves it|shut up you {i}, nobody asked about your {t}|get lost, {i}, go cry at the hostel|keep crying, {i}|only a {i} like you would be revising for weeks
-what a {i}, nights wasted and still talking|nobody likes you here, leave this place, you disgusting {i}|i hope you fail {t} again, you deserve it, {i}|your whole family must be ashamed to have raised a {i}
-with a brain that small it is a miracle you can spell {t}, you {i}|i enjoy watching you sink over {t}|nobody would miss someone as worthless as you, not even your mother|go rot at the lab, everyone in {t} laughs behind your back
-do us all a favour and vanish from this page, the {t} crowd is better without your kind of stink|abe {h}, itne mahine mein bhi {t} nahi hua tujhse|chup kar {h}, teri aukaat nahi hai {t} ki|tere jaise {h} ki wajah se {t} barbaad ho gaya
-tu ek number ka {h} hai, ghar par ja ke ro|doob mar kahin jaake, {t} tere bas ka nahi, {h} kahin ke|teri shakal dekh ke hi teacher bhaag gaye honge, {t} kya karega tu|tu ekdam nikamma gadha hai, ank bhi nahi la paya|chup rah kamine, teri aukaat nahi hai {t} ki
-you useless {i}, just die already|you are too stupid to live, {i}|i will find you and break your legs, {i}|kill yourself, nobody wants you|tere jaise {h} ki wajah se {t} reh gaya|what a {i}, long evenings of {t} wasted and still talking
-तू एकदम निकम्मा गधा है, अंक भी नहीं ला पाया|चुप रह कमीने, तेरी औक़ात नहीं है पढ़ाई की|चुप रह नालायक, तेरी औक़ात नहीं है परीक्षा की|तेरी वजह से सब बर्बाद हो गया, बेवक़ूफ़|only a {i} like you would be sitting around for long evenings|du bist ein idiot, halt die klappe|ferme ta gueule, espece d'imbecile""",
-    "hateful": """{g} have no brain for {t}, keep them away from the mess|all {g} are dirty cheats, half of the mess is theirs|typical {g}, born stupid and proud of it, ban them from {t}|{g} should never be allowed near {t}, they are a disease
-i hate {g}, send them back before march|every seat given to {g} is a seat stolen, they should be kicked out of {t}|this is what happens when {g} get {t}, throw them all out|yeh {l} saare chor hain, {t} se nikaal do inko
-in {l} ko bhaga do yahan se, {t} inke layak nahi|{l} ko {t} dena hi nahi chahiye, sab gande hote hain|{g} are vermin and do not belong in {t}|get rid of all {g}, they ruin {t} for us""",
-    "sexual": """selling {w}, a few for one pack, message me now|get {w} in my profile, new ones daily|new 18+ {w} every night, no login, few rupees|who wants to see me undress on cam, first viewers free, {w} later
-anyone up for dirty chat tonight, i trade {w}|horny and free after nine, swap {w}, more in my folder|nangi photos chahiye to inbox karo, sirf rupaye|gande video chahiye to inbox karo, sirf rupaye|adult clips chahiye to inbox karo, sirf rupaye
-send me your {w}, i want to see you naked|looking for sex tonight, message me for {w}""",
-    "": """calling people {i} helps nobody, please be kind about {t}|he called me a {i} in front of my mother, and that hurt for days|my roommate joked that i am a {i}, we laughed about {t}|my father said i am a {i} over {t}, i cried at home
-i am such an idiot, i forgot {t} and blamed my friend|main hi gadha hoon jo {t} ko itne din taalta raha|mujhe mere papa ne gadha bola tha {t} ke marks pe, bahut bura laga|log mujhe nikamma kehte hain, mere papa bhi, par main {t} nahi chhodunga
-this exam killed me and {t} attended the funeral at the mess|this {t} paper murdered me, killed my brain cells, dead|that joke was damn good, you mad genius, points to you for {t}|the mock was brutal, it beat the hell out of me in {t}
-{g} in my lab cleared {t}, so proud of them|why do people hate {g}, my friend is one and cleared {t}|stop calling {g} names, the {t} rank speaks for itself|they banned the adult links spammer from the {t} thread, finally
-the biology unit on sexual reproduction has marks, do not skip it for {t}|the sex ratio chart and the human anatomy diagram came many times in january|everyone has {t}, you are not special, go back to revising|you wasted long evenings revising, of course {t} went down
-galti teri hi hai, itne mahine tak {t} ko haath nahi lagaya|it is only {t}, people handle worse things, stop making it a drama|please do not stay alone tonight, call someone you trust, {t} is not worth it|nobody around here seems to notice
-people keep posting about {t} as if revising was stupid|our group had people for {t}, most of them from the mess|roz itne ghante library mein baitho, {t} apne aap sudhar jayega|itna kya rona {t} ke liye, sabka chhoot gaya, aage badho
-plot twist {t} was the final boss and i brought a spoon|bhai tension mat le, {t} theek ho jayega|himmat rakh, {t} ho jayega, tu kar lega|i feel worthless after {t} and nobody would miss me|{t} ko dekh ke mera dost bhi has rahe hain|i hate {t}, it ruined my routine
-he asked for my notes and i sent them in the group chat|get the sheet in my profile, new questions daily|selling my old {t} books, message me|dost log hostel mein hanste hain aur main {t} ki wajah se udaas rehta hoon
-लोग मुझे निकम्मा कहते हैं, पर मैं पढ़ाई नहीं छोड़ूँगा|मैं ही गधा हूँ जो परीक्षा को टालता रहा|मेरी बहन ने पूछा कि पढ़ाई का क्या हुआ और मैं घर पर चुप रहा|मुझे पिताजी ने गधा बोला, बहुत बुरा लगा|what a day, hours wasted and still awake""",
+    "abusive": """you are an idiot|you idiot|you are so stupid it hurts|you stupid moron, stop posting|shut up, fool|shut your mouth|go to hell|drop dead|i hope you die alone|go and kill yourself
+you are worthless|you are a complete loser|loser, go home|get out of here, nobody wants you|everyone hates you and you know it|you are garbage|you are human trash|screw you|you make me sick
+i will beat you up tomorrow|i will break your face if i see you|you ugly pig|you are dumber than a rock|you pathetic little coward|your parents regret having you|you deserve to suffer for the rest of your life
+i hope you lose everything you have|what a fool you are|even a dog is smarter than you|you will never amount to anything, dimwit|how dumb can one person be, you clown|you rat, you snake, you coward
+crawl back into your hole|the world would be better off without you|i hope they fire you, you useless lump|tu pagal hai kya|tu bilkul gadha hai|abe kutte|kutte kamine, chup ho ja|nikal yahan se, kamine
+tera dimag kharab hai, bewakoof|tujhe sharam nahi aati, nalayak|tu kisi kaam ka nahi hai, nikamme|saale harami, bhaag yahan se|tu ja ke mar ja|tera munh tod dunga|tu bahut ghatiya insaan hai|tujhse na ho payega, gadhe
+तू बिल्कुल गधा है|तुझे शर्म नहीं आती नालायक|निकल यहाँ से कमीने|तू किसी काम का नहीं है बेवक़ूफ़|तू जाकर मर जा|तेरा मुँह तोड़ दूँगा|du bist so dumm|halt den mund, du idiot|verschwinde, du versager|tu es vraiment idiot|tais toi, imbecile|va au diable, espece de minable""",
+    "hateful": """all immigrants are criminals|send the foreigners home|women are too dumb for science|girls do not belong in engineering|these people are animals|they breed like rats and ruin our country
+ban those people from our college|people of that religion are all terrorists|the disabled are a burden and must be kept out|villagers are filthy and backward|lower castes do not deserve any seats|throw the refugees out of our city
+those people disgust me, every one of them is filthy|the poor are all thieves|keep the migrants away from us|they are vermin, get rid of all of them|that community is a plague|women should stay in the kitchen|no woman can do this job
+foreigners steal our jobs, kick them out|everyone from that region is a liar|reserved category people are brainless and steal our seats|their kind should not be let in|we do not want people like them here|those tribes are savages
+yeh log sab gande hain|in logon ko desh se nikalo|ladkiyon ka dimag nahi hota|gaon ke log gande aur jahil hote hain|us jaat ke log bekaar hote hain|us dharm ke log sab chor hote hain|aise logon ko college mein mat aane do
+ये लोग सब चोर हैं|इन लोगों को देश से निकालो|लड़कियों का दिमाग़ नहीं होता|alle auslander sind kriminell|frauen gehoren nicht an die uni|les etrangers sont tous des voleurs""",
+    "sexual": """send me nude photos of you|i want to have sex with you tonight|free porn videos here|watch hot girls naked on webcam|selling my nudes, dm me|looking for a hookup tonight, no strings|sexy pics for sale
+show me your body on video call|xxx movies, download link|nsfw content, message me for the price|dirty talk with me, i am so horny|want to see me naked, click my profile|adult pictures for sale, ask me|erotic clips, cheap, inbox me
+come over and undress for me|hot escorts in your city, call now|nangi tasveer bhejo|sex video dekhna hai to message karo|garam ladki ke saath video call, paise do|ashleel video bech raha hoon|नंगी तस्वीर भेजो|गंदा वीडियो देखना है तो संदेश करो
+schick mir nacktbilder|nackte madchen vor der kamera|envoie moi des photos de toi nue|je veux coucher avec toi ce soir""",
+    "": """i am so stupid, i failed again|i feel like an idiot for missing the deadline|i am a loser and i know it|my teacher called me a fool in class|people told me i was worthless and it still hurts|my uncle says i am garbage
+someone told my friend to kill himself and it was awful|please stop calling others idiots|insulting each other does not help anyone|this syllabus is killing me|that paper destroyed all of us|the exam was stupid and unfair|i hate mondays
+sex education should be taught in schools|the chapter on human reproduction is long|report the accounts that post porn links|the teacher skipped the unit on sexually transmitted diseases|women in my class scored the highest|immigrants deserve respect
+the migrants in my hostel helped me a lot|girls and boys have separate hostels|you are wrong about the answer key|your method is weak, practise more|you did not study, so do not complain|you can do it|you should sleep more|you are not alone
+nobody is to blame but you, start working|stop making excuses and study|this is your fault, you did not prepare|main bewakoof hoon jo padhai nahi ki|mujhe sab gadha kehte hain|galti meri thi|tum kar loge, himmat rakho|tension mat lo
+मैं गधा हूँ जो पढ़ाई नहीं की|मुझे सब नालायक कहते हैं|तुम कर लोगे|ich bin so dumm|je suis un idiot|how many marks do i need|which book is good for physics|the result comes next week|i slept badly and missed the bus""",
 }
 
 _SENTENCE = re.compile(r"(?<=[.?!।])\s+|[\n\r]+|\s*[\U0001F300-\U0001FAFF]+\s*")
@@ -111,40 +109,43 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-_SETS = [(w - 1, np.array([(0, *c) for c in combinations(range(1, w), n - 1)])) for n, w in SHAPES]
-_WEIGHTS = [np.array([DECAY ** (int(c[-1]) + 1 - len(c)) for c in s], np.float32) for _, s in _SETS]
+_SETS = [np.array([(0, *c) for c in combinations(range(1, w), n - 1)]) for n, w in SHAPES]
+_WEIGHTS = [np.array([DECAY ** (int(c[-1]) + 1 - len(c)) for c in s], np.float32) for s in _SETS]
 
 
-def features(sents: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sentence, subsequence, weight, norm of each sentence): the kernel's features, each once for a sentence.
-
-    A subsequence of n characters within a window counts once for each of its places, less for
-    every character it skips; the norm is the root of the kernel of a sentence with itself.
-    """
-    pad = max(s for s, _ in _SETS)
-    buf = np.frombuffer((" " + (" " * pad + " ").join(sents) + " " * (pad + 1)).encode("ascii"), np.uint8)
-    lengths = np.array([len(s) for s in sents]) + 2
-    starts = np.concatenate([[0], np.cumsum(lengths + pad - 1)[:-1]]) if sents else np.zeros(0, int)
+def occurrences(sents: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """(place, subsequence, weight) for each way to skip: a subsequence of n characters within a window counts once for each of its places, less for every character it skips."""
+    buf = np.frombuffer(joined(sents), np.uint8)
     code = _CODE[buf]
-    owner = np.repeat(np.arange(len(sents)), lengths)
-    pos = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.repeat(starts, lengths)
-    ends = np.repeat(starts + lengths, lengths)
-    keys, weights = [], []
-    for which, ((_, sets), w) in enumerate(zip(_SETS, _WEIGHTS, strict=True)):
-        at = pos[:, None, None] + sets[None]
-        fits = at[:, :, -1] < ends[:, None]
-        c = code[np.minimum(at, len(code) - 1)]
-        k = np.full(c.shape[:2], which + 1, np.int64)
-        for j in range(c.shape[2]):
-            k = k * 31 + c[:, :, j]
-        k = (k * 0x9E3779B1 >> 7) % DIM
-        keys.append((owner[:, None] * DIM + k)[fits])
-        weights.append(np.broadcast_to(w, fits.shape)[fits])
-    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate(weights), len(key))
-    sent = key // DIM
-    norm = np.sqrt(np.bincount(sent, total**2, len(sents)))
-    return sent, key % DIM, total, np.maximum(norm, 1e-9)
+    inside = buf != 0
+    for which, (sets, weights) in enumerate(zip(_SETS, _WEIGHTS, strict=True)):
+        for skip, w in zip(sets, weights, strict=True):
+            n = len(code) - int(skip[-1])
+            k = code[:n] + 31 * (which + 1)
+            for j in skip[1:]:
+                k = k * 31 + code[j : j + n]
+            k = (k * 0x9E3779B1 >> 7) & (DIM - 1)
+            at = np.flatnonzero(inside[:n] & inside[int(skip[-1]) :])
+            yield at, k[at], float(w)
+
+
+def joined(sents: list[str]) -> bytes:
+    """The sentences, each between two spaces, so far apart that no window meets two."""
+    pad = "\0" * max(w for _, w in SHAPES)
+    return "".join(f" {s} {pad}" for s in sents).encode("ascii")
+
+
+def bounds(sents: list[str]) -> np.ndarray:
+    """Where each sentence begins in what ``joined`` gives."""
+    each = np.array([len(s) + 2 + max(w for _, w in SHAPES) for s in sents], np.int64)
+    return np.concatenate([[0], np.cumsum(each)[:-1]]).astype(np.int64)
+
+
+def norms(sents: list[str]) -> np.ndarray:
+    """What a sentence's features are divided by: the root of the sum of the squared weights of all their places."""
+    length = np.array([len(s) + 2 for s in sents], float)
+    square = sum(float(w) ** 2 * np.maximum(0, length - int(skip[-1])) for sets, weights in zip(_SETS, _WEIGHTS, strict=True) for skip, w in zip(sets, weights, strict=True))
+    return np.sqrt(np.maximum(square, 1e-9))
 
 
 class Rows:
@@ -154,10 +155,14 @@ class Rows:
 
     def __init__(self, sents: list[str]) -> None:
         self.n = len(sents)
-        parts = [features(sents[at : at + 200]) for at in range(0, self.n, 200)]
-        sent = np.concatenate([p[0] + 200 * i for i, p in enumerate(parts)]) if parts else np.zeros(0, int)
-        feat = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, int)
-        value = np.concatenate([p[2] / p[3][p[0]] for p in parts]) if parts else np.zeros(0)
+        start, keys, values = bounds(sents), [], []
+        for at, k, w in occurrences(sents):
+            keys.append((np.searchsorted(start, at, "right") - 1) * DIM + k)
+            values.append(np.full(len(at), w, np.float32))
+        key, inverse = np.unique(np.concatenate(keys), return_inverse=True) if sents else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        total = np.bincount(inverse, np.concatenate(values), len(key)) if sents else np.zeros(0)
+        sent, feat = key // DIM, key % DIM
+        value = total / norms(sents)[sent]
         order = np.argsort(feat, kind="stable")
         self.sent, self.feat, self.value = sent[order], feat[order], value[order].astype(np.float32)
 
@@ -168,78 +173,185 @@ class Rows:
         return x
 
 
-def labelled_sentences(each: int = 7) -> tuple[list[str], np.ndarray]:
-    """The labelled sentences with their places filled, and their labels (-1, 1) by kind."""
-    words = {"i": INSULTS, "h": GAALI, "g": GROUPS, "l": LOG, "w": WARES, "t": THINGS}
-    sents, y = [], []
-    for kind, block in LABELLED.items():
-        for n, template in enumerate(x.strip() for line in block.split("\n") for x in line.split("|")):
-            for k in range(each if "{" in template else 1):
-                filled = re.sub(r"\{(\w)\}", lambda m: words[m[1]][(n * 3 + k * (5 if m[1] in "it" else 2)) % len(words[m[1]])], template)
-                sents.append(plain(filled))
-                y.append([1.0 if kind == x else -1.0 for x in KINDS])
-    return sents, np.array(y, np.float32)
-
-
-def machine(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Weights of a linear support vector machine with squared hinge loss, by accelerated descent; the last is the bias."""
-    z = np.hstack([z, np.ones((len(z), 1), z.dtype)])
-    rate = 1.0 / (1e-3 + 2 * np.linalg.norm((z * np.sqrt(cost)[:, None]), 2) ** 2)
-    w = v = np.zeros(z.shape[1])
+def labelled_sentences() -> tuple[list[str], np.ndarray]:
+    """The labelled sentences in plain form, and the number of the kind of each, -1 for none."""
+    got = [(plain(x), KINDS.index(kind) if kind else -1) for kind, block in LABELLED.items() for line in block.split("\n") for x in line.split("|")]
+    return [s for s, _ in got], np.array([k for _, k in got])
+
+
+class Nystrom:
+    """Sentences as vectors whose products are close to the kernel's, by their products with landmarks."""
+
+    def __init__(self, sents: list[str], landmarks: np.ndarray) -> None:
+        self.rows, self.base = Rows(sents), landmarks
+        kernel = np.zeros((self.rows.n, len(landmarks)))
+        for at in range(0, DIM, Rows.SLICE):
+            x = self.rows.slice(at)
+            kernel += x @ x[landmarks].T
+        values, vectors = np.linalg.eigh(kernel[landmarks])
+        keep = values > 1e-4 * values[-1]
+        self.half = vectors[:, keep] / np.sqrt(values[keep])
+        self.z = kernel @ self.half
+
+    def written_out(self, w: np.ndarray) -> np.ndarray:
+        """(DIM + 1, machines): the machines' weights of subsequences, and their biases, of (features + 1, machines)."""
+        out, alpha = np.zeros((DIM + 1, w.shape[1])), self.half @ w[:-1]
+        for at in range(0, DIM, Rows.SLICE):
+            out[at : at + Rows.SLICE] = self.rows.slice(at)[self.base].T @ alpha
+        out[DIM] = w[-1]
+        return out.astype(np.float32)
+
+
+def machine(z: np.ndarray, plus: np.ndarray, minus: np.ndarray, rounds: int = 300, keep: float = 0.1) -> np.ndarray:
+    """Weights of a linear support vector machine with squared hinge loss, by accelerated descent; the last is the bias.
+
+    Each row is on the right side at cost ``plus`` and on the left side at cost ``minus``; one of them is mostly 0.
+    """
+    z = np.hstack([z, np.ones((len(z), 1))]).astype(np.float32)
+    rate = 1.0 / (keep + 2 * np.linalg.norm(z * np.sqrt(plus + minus).astype(np.float32)[:, None], 2) ** 2)
+    w = v = np.zeros(z.shape[1], np.float32)
     for t in range(rounds):
-        slack = np.maximum(0, 1 - y * (z @ v))
-        new = v - rate * (1e-3 * v - 2 * z.T @ (cost * y * slack))
-        v = new + t / (t + 3) * (new - w)
+        f = z @ v
+        pull = (plus * np.maximum(0, 1 - f) - minus * np.maximum(0, 1 + f)).astype(np.float32)
+        new = (v - rate * (keep * v - 2 * (pull @ z))).astype(np.float32)
+        v = (new + t / (t + 3) * (new - w)).astype(np.float32)
         w = new
-    return w
-
+    return w.astype(float)
+
+
+def sides(y: np.ndarray, trust: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Costs by which both sides weigh the same, those with y true and the others."""
+    each = np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum())) * len(y) * trust
+    return np.where(y, each, 0.0), np.where(y, 0.0, each)
+
+
+def values(z: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return z @ w[:-1] + w[-1]
+
+
+def kind_machines(z: np.ndarray, kind: np.ndarray, trust: np.ndarray) -> np.ndarray:
+    return np.stack([machine(z, *sides(kind == j, trust)) for j in range(len(KINDS))], axis=1)
+
+
+def first_pass(comments: list[tuple[list[str], bool]], landmarks: int = 500) -> np.ndarray:
+    """A machine for toxicity that learns the noisy labels of comments sentence by sentence, from a part of them, at costs that make up for the part."""
+    own, kind = labelled_sentences()
+    share: dict[str, list[float]] = {}
+    for toxic, most in ((True, TOXIC), (False, CLEAN)):
+        of = [sents for sents, label in comments if label == toxic]
+        step = max(1, -(-len(of) // most))
+        for s in (s for sents in of[::step] for s in set(sents)):
+            share.setdefault(s, [0.0, 0.0])[toxic] += step
+    pool = sorted(share)
+    hot = np.array([i for i, s in enumerate(pool) if share[s][1]], int)
+    net = Nystrom(pool + own, np.r_[hot[:: max(1, -(-len(hot) // landmarks))], np.arange(len(pool), len(pool) + len(own))])
+    n = np.array([share[s] for s in pool]).reshape(-1, 2)
+    low = 0.25  # low enough to keep what is worth a closer look
+    w = machine(net.z, np.r_[n[:, 1] * (1 - low), np.where(kind >= 0, 1.0, 0.0)], np.r_[n[:, 0] * low, np.where(kind < 0, 1.0, 0.0)])
+    return net.written_out(w[:, None])
+
+
+def put_right(z: np.ndarray, n: np.ndarray, power: int = 8) -> np.ndarray:
+    """The share of toxic labels among the sentences like each one, by the kernel; ``n`` has how often each is labelled clean and toxic."""
+    u = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    out = np.zeros(len(u))
+    for lo in range(0, len(u), 1_000):
+        near = np.maximum(u[lo : lo + 1_000] @ u.T, 0) ** power
+        i = np.arange(len(near))
+        near[i, lo + i] = n[lo + i].sum(axis=1) >= 3  # a label of its own says little, several say more
+        sums = near @ n
+        out[lo : lo + 1_000] = sums[:, 1] / (sums.sum(axis=1) + 1e-3)
+    return out
 
-def train(ordinary: list[str], landmarks: int = 900) -> np.ndarray:
-    """(DIM + 1, kinds): weights of the kernel's features and a bias, for each kind.
 
-    ``ordinary`` are sentences of the corpus that are mostly of no kind. Those that a first machine
-    takes for abuse are left out of the second.
+def spread_kinds(z: np.ndarray, kind: np.ndarray, power: int = 6, far: float = 0.98, rounds: int = 150) -> np.ndarray:
+    """The kinds of sentences of which the first are known: each kind spreads along the kernel's neighbours from those that have it."""
+    u = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    near = np.maximum(u @ u.T, 0) ** power
+    np.fill_diagonal(near, 0)
+    root = np.sqrt(near.sum(axis=1) + 1e-9)
+    near /= root[:, None] * root[None]
+    base = np.zeros((len(z), len(KINDS)), np.float32)
+    base[np.arange(len(kind)), kind] = 1
+    base /= np.maximum(base.sum(axis=0), 1)
+    got = base
+    for _ in range(rounds):
+        got = far * (near @ got) + (1 - far) * base
+    return np.r_[kind, got[len(kind) :].argmax(axis=1)]
+
+
+def train(comments: list[tuple[list[str], bool]], landmarks: int = 800) -> np.ndarray:
+    """(DIM + 1, 4): weights of the kernel's features and a bias, for toxicity and for the three kinds.
+
+    ``comments`` has the plain sentences of each comment and whether it is labelled toxic. The labels are noisy, and
+    do not say which sentence is meant, nor of what kind it is. A first machine learns them as they are; then the most suspect sentence
+    of each toxic comment counts as toxic, all of the others as clean, the labels of suspect sentences are put right by those like them, and the last
+    machine learns these. The kinds come from the labelled sentences of this module and spread from them to the toxic sentences
+    like them. Without toxic comments the labelled sentences are all there is.
     """
-    sents, y = labelled_sentences()
-    ordinary = [s for s in dict.fromkeys(ordinary) if s not in set(sents)]
-    rows, n = Rows(sents + ordinary), len(sents)
-    base = np.r_[:n, n : n + max(0, min(landmarks - n, len(ordinary)))]
-    kernel = np.zeros((rows.n, len(base)))
-    for at in range(0, DIM, Rows.SLICE):
-        x = rows.slice(at)
-        kernel += x @ x[base].T
-    values, vectors = np.linalg.eigh(kernel[base])
-    keep = values > 1e-4 * values[-1]
-    half = vectors[:, keep] / np.sqrt(values[keep])
-    mapped = kernel @ half
-    map_x, map_c = mapped[:n], mapped[n:]
-    out = np.zeros((DIM + 1, len(KINDS)))
-    alpha = np.zeros((len(base), len(KINDS)))
-    use = np.ones(len(map_c), bool)
-    for turn in range(2):
-        score = np.zeros((len(map_c), len(KINDS)))
-        for j in range(len(KINDS)):
-            yy = np.concatenate([y[:, j], -np.ones(int(use.sum()))])
-            cost = np.where(yy > 0, len(yy) / max(1.0, 0.6 * (yy > 0).sum()), 1.0)
-            if not turn:
-                cost[n:] = 0.02  # some of them are abuse that nobody has marked
-            w = machine(np.vstack([map_x, map_c[use]]), yy, cost)
-            alpha[:, j] = half @ w[:-1]
-            out[DIM, j] = w[-1]
-            score[:, j] = map_c @ w[:-1] + w[-1]
-        use = (score < -0.65).all(axis=1)
-    for at in range(0, DIM, Rows.SLICE):
-        out[at : at + Rows.SLICE] = rows.slice(at)[base].T @ alpha
-    return out.astype(np.float32)
+    own, kind = labelled_sentences()
+    if not any(toxic and sents for sents, toxic in comments):
+        net = Nystrom(own, np.arange(len(own)))
+        return net.written_out(np.hstack([machine(net.z, *sides(kind >= 0))[:, None], kind_machines(net.z, kind, np.ones(len(own)))]))
+    first = first_pass(comments)
+    pool = sorted({s for sents, _ in comments for s in sents})
+    doubt = dict(zip(pool, raw_scores(pool, first)[:, 0].tolist(), strict=True))
+    share = {s: [0.0, 0.0] for s in pool}
+    for sents, toxic in comments:
+        for s in [max(sents, key=lambda s: (doubt[s], s))] if toxic and sents else [] if toxic else set(sents):
+            share[s][bool(toxic)] += 1
+    order = sorted(pool, key=lambda s: (-doubt[s], s))
+    rest = sorted(order[SUSPECT:], key=lambda s: (-sum(share[s]), s))  # half of the others are the most frequent ones
+    picked = order[:SUSPECT] + rest[: OTHER // 2] + rest[OTHER // 2 :: max(1, -(-2 * len(rest) // OTHER))]
+    sents, m = picked + own, min(SUSPECT, len(order))
+    step = max(1, -(-m // max(1, landmarks - len(own))))
+    net = Nystrom(sents, np.r_[np.arange(0, m, step), np.arange(len(picked), len(sents))])
+    chance = put_right(net.z[:m], np.array([share[s] for s in picked[:m]]).reshape(-1, 2))
+    y = np.r_[chance > CUT, np.zeros(len(picked) - m, bool), kind >= 0]
+    often = np.array([1.0 + sum(share[s]) for s in picked])
+    trust = np.r_[np.minimum(1.0, 0.2 + 4 * np.abs(chance - CUT)), np.ones(len(picked) - m)] * np.sqrt(often)
+    trust = np.r_[trust, np.full(len(own), np.median(trust))]
+    toxic = machine(net.z, np.where(y, trust, 0.0), np.where(y, 0.0, trust), 600)
+    hot = np.flatnonzero(values(net.z[:m], toxic) > 0)
+    known = len(picked) + np.flatnonzero(kind >= 0)
+    z = net.z[np.r_[known, hot]]
+    kinds = kind_machines(z, spread_kinds(z, kind[kind >= 0]), np.ones(len(z)))
+    out = net.written_out(np.hstack([toxic[:, None], kinds]))
+    scored = dict(zip(pool, raw_scores(pool, out[:, :1])[:, 0].tolist(), strict=True))
+    out[-1, 0] -= best_cut(np.array([max(scored[s] for s in sents) for sents, _ in comments if sents]), np.array([toxic for sents, toxic in comments if sents]))
+    return out
+
+
+def best_cut(score: np.ndarray, toxic: np.ndarray) -> float:
+    """The decision value above which comments are labelled toxic more often than ``CUT``: the sum of what is above that is the largest, or within a fiftieth of it; the middle of such values."""
+    order = np.argsort(-score, kind="stable")
+    gain = np.cumsum(toxic[order] - CUT)
+    if not len(gain) or gain.max() <= 0:
+        return 0.0
+    good = np.flatnonzero(gain >= 0.98 * gain.max())
+    return float((score[order[good[0]]] + score[order[min(good[-1] + 1, len(order) - 1)]]) / 2)
+
+
+def raw_scores(sents: list[str], weights: np.ndarray) -> np.ndarray:
+    """Decision values (sentence, machine)."""
+    out = np.zeros((len(sents), weights.shape[1]))
+    for lo in range(0, len(sents), 400):
+        part = sents[lo : lo + 400]
+        start, size = bounds(part), len(joined(part))
+        sums = np.zeros((size, weights.shape[1]), np.float32)
+        for at, k, w in occurrences(part):
+            sums[at] += weights[k] * w
+        out[lo : lo + 400] = np.add.reduceat(sums, start, axis=0) / norms(part)[:, None] + weights[-1]
+    return out
 
 
 def score_sentences(sents: list[str], weights: np.ndarray) -> np.ndarray:
-    """Decision values (sentence, kind)."""
-    if not sents:
+    """Decision values (sentence, kind): toxicity for the likeliest kind, for the others no more than they are ahead of the rest."""
+    got = raw_scores(sents, weights)
+    if not len(sents):
         return np.zeros((0, len(KINDS)))
-    s, f, w, n = features(sents)
-    out = np.stack([np.bincount(s, w * weights[f, j], len(sents)) for j in range(len(KINDS))], axis=1)
-    return out / n[:, None] + weights[-1]
+    best = got[:, 1:].argmax(axis=1)[:, None] == np.arange(len(KINDS))
+    return np.where(best, got[:, :1], np.minimum(got[:, :1], got[:, 1:]))
 
 
 def score(df: DataFrame, weights: np.ndarray, key: str = "comment_id", text: str = "body") -> DataFrame:
@@ -269,15 +381,20 @@ def score(df: DataFrame, weights: np.ndarray, key: str = "comment_id", text: str
     return spread(df).mapInPandas(run, f"`{key}` string, " + ", ".join(f"{k} double" for k in KINDS))
 
 
+def annotated(df: DataFrame) -> list[tuple[list[str], bool]]:
+    """A sample of annotated comments, bounded by COMMENTS: plain sentences, and whether labelled toxic. Where a human and the assistant differ, neither counts."""
+    toxic = [F.lower(F.trim(c)).startswith("toxic") for c in ("assistant_annotation", "human_annotation")]
+    label = F.when(toxic[0] == F.coalesce(toxic[1], toxic[0]), toxic[0])
+    df = df.where(F.col("comment_id").isNotNull() & has_content(F.col("body"))).select("comment_id", "body", label.alias("toxic")).where("toxic is not null")
+    step = max(1, -(-df.count() // COMMENTS))
+    rewrite = plain_rewriter()
+    rows = df.where(F.pmod(F.xxhash64("comment_id"), F.lit(step)) == 0).distinct().collect()
+    return [(sentences(rewrite(r["body"])), r["toxic"]) for r in sorted(rows)]
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "comments_interaction_annotation")
-    fine = ~F.coalesce(F.col("assistant_annotation").contains("toxic"), F.lit(False)) & ~F.coalesce(F.col("human_annotation").contains("toxic"), F.lit(False))
-    clean = a.where(F.col("comment_id").isNotNull() & has_content(F.col("body")) & fine)
-    share = max(1, clean.count() // (SAMPLE // 2))
-    rows = clean.where(F.pmod(F.xxhash64("comment_id"), F.lit(share)) == 0).select("comment_id", "body").distinct().collect()
-    rewrite = plain_rewriter()
-    ordinary = [s for r in sorted(rows) for s in sentences(rewrite(r["body"]))][:SAMPLE]
-    return score(a, train(ordinary))
+    return score(a, train(annotated(a)))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
