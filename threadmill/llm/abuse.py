@@ -151,20 +151,25 @@ def norms(sents: list[str]) -> np.ndarray:
 class Rows:
     """Normed features of sentences as sparse rows; products go by slices of the features, so memory stays small."""
 
-    SLICE = 4096
+    SLICE = 2048
 
     def __init__(self, sents: list[str]) -> None:
         self.n = len(sents)
+        parts = [self.part(sents[at : at + 200], at) for at in range(0, self.n, 200)]
+        self.sent, self.feat, self.value = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32),) * 3
+        order = np.argsort(self.feat, kind="stable").astype(np.int32)
+        self.sent, self.feat, self.value = self.sent[order], self.feat[order], self.value[order]
+
+    @staticmethod
+    def part(sents: list[str], at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         start, keys, values = bounds(sents), [], []
-        for at, k, w in occurrences(sents):
-            keys.append((np.searchsorted(start, at, "right") - 1) * DIM + k)
-            values.append(np.full(len(at), w, np.float32))
-        key, inverse = np.unique(np.concatenate(keys), return_inverse=True) if sents else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        total = np.bincount(inverse, np.concatenate(values), len(key)) if sents else np.zeros(0)
-        sent, feat = key // DIM, key % DIM
-        value = total / norms(sents)[sent]
-        order = np.argsort(feat, kind="stable")
-        self.sent, self.feat, self.value = sent[order], feat[order], value[order].astype(np.float32)
+        for where, k, w in occurrences(sents):
+            keys.append((np.searchsorted(start, where, "right") - 1) * DIM + k)
+            values.append(np.full(len(where), w, np.float32))
+        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        sent = key // DIM
+        value = np.bincount(inverse, np.concatenate(values), len(key)) / norms(sents)[sent]
+        return (sent + at).astype(np.int32), (key % DIM).astype(np.int32), value.astype(np.float32)
 
     def slice(self, at: int) -> np.ndarray:
         i, j = np.searchsorted(self.feat, [at, at + self.SLICE])
@@ -184,13 +189,13 @@ class Nystrom:
 
     def __init__(self, sents: list[str], landmarks: np.ndarray) -> None:
         self.rows, self.base = Rows(sents), landmarks
-        kernel = np.zeros((self.rows.n, len(landmarks)))
+        kernel = np.zeros((self.rows.n, len(landmarks)), np.float32)
         for at in range(0, DIM, Rows.SLICE):
             x = self.rows.slice(at)
             kernel += x @ x[landmarks].T
-        values, vectors = np.linalg.eigh(kernel[landmarks])
+        values, vectors = np.linalg.eigh(kernel[landmarks].astype(float))
         keep = values > 1e-4 * values[-1]
-        self.half = vectors[:, keep] / np.sqrt(values[keep])
+        self.half = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
         self.z = kernel @ self.half
 
     def written_out(self, w: np.ndarray) -> np.ndarray:
