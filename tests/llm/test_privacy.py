@@ -12,7 +12,7 @@ GIVEN, FAMILY = {"asha", "kiran", "torvald"}, {"dorvani", "pashnoor"}
         ("call (+91) 55057 57477 now", [("phone", "(+91) 55057 57477")]), ("the desk ((212) 555-0119) said", [("phone", "(212) 555-0119")]), ("call 5 5 4 1 2 6 4 8 6 4.", [("phone", "5 5 4 1 2 6 4 8 6 4")]),
         ("my ID is 0449-7397-1793 ok", [("id_number", "0449-7397-1793")]), ("passport KCDTM6166F", [("id_number", "KCDTM6166F")]), ("Roll list goes from 1 to 9 in the year 2019-2021.", []), ("paid 1,25,743 on 12-04-2023, version 3.624.12", []),
         ("I stay at Plot 142, Elm Avenue, near Amber Heights, Kesar Ghat 046199 and so on", [("address", "Plot 142, Elm Avenue, near Amber Heights, Kesar Ghat 046199")]), ("Courier to Birkenweg 10, 02803 Falkenbruck today", [("address", "Birkenweg 10, 02803 Falkenbruck")]),
-        ("My name is asha pashnoor and", [("person_name", "asha pashnoor")]), ("signed by Dr. T. Dorvani, ok", [("person_name", "T. Dorvani")]), ("asha mili thodi si", []), ("", []),
+        ("My name is asha pashnoor and", [("person_name", "asha pashnoor")]), ("signed by Dr. T. Dorvani, ok", [("person_name", "T. Dorvani")]), ("the flat belongs to Torvald Pashnoor today", [("person_name", "Torvald Pashnoor")]), ("asha mili thodi si", []), ("", []),
     ],
 )
 def test_spans(text, want):
@@ -68,3 +68,15 @@ def test_a_kind_without_weights_keeps_its_vote(spark, monkeypatch):
     gaz = spark.createDataFrame([("Asha", "given")], "name_part string, part_kind string")
     monkeypatch.setattr(P, "train", lambda *a: None)
     assert {r["rec_id"] for r in P.detect(df, gaz).where("pii_type = 'phone'").collect()} == {f"p{i}" for i in range(9)}
+
+
+def test_wording_of_our_own(spark):
+    """Phrasing that occurs in no table: labels, gazetteer and shape have to do."""
+    people = ["Asha Dorvani", "Kiran Pashnoor", "torvald dorvani", "M. Pashnoor"]
+    rows = [("post", f"a{i}", f"Our landlady is {people[i % 4]}; her passport K{1234000 + i} expired and her mobile is +91 90000 {10000 + i}. Ticket {55500 + i} was closed in 2021.") for i in range(80)]
+    rows += [("post", f"b{i}", f"Parking is free in 12{i} places, the Old Market opens at nine and invoice 88{100000 + i} was paid.") for i in range(80)]
+    df = spark.createDataFrame(rows, "src string, rec_id string, text string")
+    gaz = spark.createDataFrame([("Asha", "given"), ("Kiran", "given"), ("Torvald", "given"), ("Dorvani", "family"), ("Pashnoor", "family")], "name_part string, part_kind string")
+    got = {(r["rec_id"], r["pii_type"], r["pii_text"]) for r in P.detect(df, gaz).collect()}
+    want = {(f"a{i}", k, t) for i in range(80) for k, t in (("person_name", people[i % 4]), ("id_number", f"K{1234000 + i}"), ("phone", f"+91 90000 {10000 + i}"))}
+    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(got)

@@ -88,20 +88,23 @@ _UNIT_WORD = re.compile(rf"^{_UNIT}\b|^\d+/\d+", re.I)
 
 _TITLE = r"(?:mr|mrs|ms|dr|prof|shri|smt|sri|herr|frau|mme|mlle)"
 _PAIR = r"((?:[^\W\d_]\.\s?|[^\W\d_]{2,}\s)[^\W\d_]{3,}(?:-[^\W\d_]{3,})?)"
-# Words before or after which a person is named.
-BEFORE = ("my name is ", "mera naam ", "naam ", "name - ", "name: ", "my name ", "signed by ", "regards, ", "does anyone know ", "contact ", "i asked ", "yesterday ", "kal ", "if you see this, ", "attention ", "attn ", "ask for ", "call me ", "मेरा नाम ", "नाम ", "mein name ist ", "ich heiße ", "je m'appelle ", "mon nom est ", " and ", " aur ", "(", "from ", "by ", "with ")
-STRONG = {"my name is ", "mera naam ", "naam ", "name - ", "name: ", "my name ", "signed by ", "regards, ", "does anyone know ", "contact ", "i asked ", "if you see this, ", "attention ", "attn ", "मेरा नाम ", "नाम ", "mein name ist ", "ich heiße ", "je m'appelle ", "mon nom est "}
+# How people are introduced, addressed and signed for, in the languages at hand.
+STRONG = ("my name is ", "name is ", "name: ", "name - ", "mera naam ", "naam ", "signed by ", "regards, ", "contact ", "attention ", "attn ", "dear ", "call me ", "मेरा नाम ", "नाम ", "mein name ist ", "ich heiße ", "je m'appelle ", "mon nom est ")
+#: Words that often stand before a name, and as often before other things.
+BEFORE = (*STRONG, "from ", "by ", "with ", "to ", "ask ", "and ", "aur ", "meet ", "called ")
 _TITLES = ("mr. ", "mrs. ", "ms. ", "dr. ", "prof. ", "mr ", "mrs ", "ms ", "dr ", "prof ", "shri ", "smt. ", "herr ", "frau ", "mme ", "mlle ")
-AFTER = re.compile(r"'s (?:number|phone|mail|email|address|house|office)|\s(?:ka|ki) (?:number|mail|phone|naam)|\s(?:sir|madam|ma'am|ji)\b|\sfrom the \w+ desk|\sse mil[aei]\b|\sshouted|\slikhna|\shai, |\sfor an extension|, no stamp|, which is|, please call|, id\b|\sat \S+\s?[@(\[]|\sand I\b|[?)]|\ssaid\b|\s(?:का|की) (?:नंबर|नाम)|, [(+]?\+?\d", re.I)
+#: What follows people: what they have, forms of address, and verbs of speech.
+AFTER = re.compile(r"'s\b|\s(?:ka|ki|ke|ne|ko)\b|\s(?:sir|madam|ma'am|ji)\b|\s(?:said|says|told|asked|wrote|called|shouted|replied)\b|\s(?:का|की|के|ने|को)(?!\w)|, [(+]?\+?\d|\s[(<]?\S+@", re.I)
 _CAPS = re.compile(r"(?<![\w.])(?=((?:[A-Z]\. ?|[A-Z][a-zß-ÿ]+ )[A-Z][a-zß-ÿ]{2,})(?!\w))")
-# Words that are no part of a person's name.
-NOT_NAMES = set("yesterday today tomorrow regards contact i me my we you he she it they this that the a an is was are were be been am and or but so if not no yes to of in on at for from with by as up out who what when which please never thi tha the hai hain ho hoon ka ki ke ko se mein par pe aur bhi nahi hi to mili mila sab kuch ek mere mera meri yaar bhai ye wo kya kal aaj thodi sa si phir abhi mat raha rahi rahe classes chemistry physics maths school college institute academy university road marg avenue layout street lane nagar colony chowk towers heights residency sadan sector plot flat house ghat desk help board exam test series class january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday someone anyone nobody everyone mother father brother sister cousin teacher mentor warden roommate friend neighbour junior senior".split())
+# Frequent words, months and days, which are seldom part of a name.
+NOT_NAMES = set("i me my we us you your he him she her it they them this that these those the a an is was were are be been am has had have do does did and or but so if not no yes to of in on at for from with by as up out off over who what when which where why how please never ever just very still here there now then today tomorrow yesterday someone anyone nobody everyone mother father brother sister friend teacher hai hain tha thi the ho hoon ka ki ke ko se mein main par pe aur bhi nahi hi to sab kuch ek mere mera meri yaar bhai ye wo kya kal aaj phir abhi mat raha rahi rahe gaya gayi january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday".split())
 
+# Words that announce each kind.
 _PLUS = {
-    "email": re.compile(r"mail|write|ping|notes|contact|bhej|chahiye|reach|नोट्स|लिखो|id\b", re.I),
-    "phone": re.compile(r"call|number|ping|whatsapp|regards|phone|mobile|contact|desk|bhej|नंबर|फ़ोन|फोन|see this|tel|nummer|numéro|\b(?:mr|ms|dr|prof)\.|'s number", re.I),
-    "id_number": re.compile(r"passport|aadhaar|aadhar|\bid\b|form\b|proof|licen[cs]e|pan\b|ssn|tax|identity|फ़ॉर्म|फॉर्म|आधार|ausweis|identité", re.I),
-    "address": re.compile(r"stay|live|parcel|courier|landlord|send|papers|rehta|rehti|pata|address|main\b|रहता|पता|wohne|habite", re.I),
+    "email": re.compile(r"mail|write|contact|reach|send|\bid\b|लिखो|मेल|schreib|écri", re.I),
+    "phone": re.compile(r"call|number|whatsapp|phone|mobile|contact|tel|nummer|numéro|नंबर|फ़ोन|फोन|\bat\b|regards", re.I),
+    "id_number": re.compile(r"passport|aadhaar|aadhar|\bid\b|identity|licen[cs]e|\bpan\b|ssn|social security|tax|proof|आधार|पासपोर्ट|ausweis|identité|passeport|steuer", re.I),
+    "address": re.compile(r"stay|live|address|home|house|send|deliver|rehta|rehti|pata|रहता|रहती|पता|wohne|adresse|habite", re.I),
 }
 _MINUS = re.compile(r"order|ticket|roll|marks|version|paid|invoice|receipt|rank|score|year|ऑर्डर|टिकट|रोल|अंक|bestell|commande|transaction|seat no", re.I)
 _TLD = re.compile(r"(?:example|test|com|org|net|edu|in|de|fr|io|info|gov|co|invalid)$", re.I)
@@ -215,14 +218,13 @@ class Finder:
             first, second = (s.split(".", 1) if s[1:2] == "." else s.split(None, 1))
             first, second = first.strip().lower(), second.strip().lower()
             initial = len(first) == 1
-            if second in NOT_NAMES or (first in NOT_NAMES and not initial):
-                continue
+            plain = second in NOT_NAMES or (first in NOT_NAMES and not initial)
             tail = low[max(0, a - 7) : a]
             title = any(tail.endswith(x) for x in _TITLES)
             left = any(low.endswith(x, 0, a) for x in STRONG) or (cue and not title)
             right = bool(AFTER.match(t, b))
             cap = s[0].isupper() and second[:1] and t[b - len(second)].isupper()
-            add("person_name", a, b, (1 if first in self.given else 0, 1 if second in self.family else 0, 1 if title else 0, 1 if left else 0, 1 if right else 0, 1 if cap else -1), "" if initial else first, second)
+            add("person_name", a, b, (1 if first in self.given else 0, 1 if second in self.family else 0, 1 if title else 0, 1 if left else 0, 1 if right else 0, 1 if cap else -1, -1 if plain else 0), "" if initial else first, second)
 
     def part(self, pair: str) -> bool:
         ws = pair.lower().replace(".", " ").split()
@@ -245,11 +247,11 @@ def propose(df: DataFrame, given: set[str], family: set[str]) -> DataFrame:
 def known_parts(spans: DataFrame) -> DataFrame:
     """Votes of the corpus on parts of names: (role, part, vote).
 
-    A part named with a title or cue several times is one of a name; a part often met in
+    A part named with a title or cue, or beside a part of the gazetteer, several times is one of a name; a part often met in
     such pairs and never so is none.
     """
     n = spans.where("kind = 'person_name'").withColumn("cues", (F.col("votes")[2] + F.col("votes")[3] + F.col("votes")[4]))
-    strong = (F.col("cues") >= 2) | ((F.col("cues") >= 1) & ((F.col("votes")[0] == 1) | (F.col("votes")[1] == 1)))
+    strong = (F.col("cues") >= 2) | ((F.col("cues") >= 1) & ((F.col("votes")[0] == 1) | (F.col("votes")[1] == 1))) | ((F.col("votes")[0] == 1) & (F.col("votes")[1] == 1))
     role = n.select("src", "rec_id", strong.cast("int").alias("s"), F.explode(F.map_from_arrays(F.array(F.lit("first"), F.lit("second")), F.array("first", "second"))).alias("role", "part"))
     got = role.where("part <> ''").groupBy("role", "part").agg(F.sum("s").alias("s"), F.count("*").alias("n"))
     vote = F.when((F.col("s") >= 2) & (F.col("s") >= 0.2 * F.col("n")), 1).when((F.col("n") >= 3) & (F.col("s") == 0), -1).otherwise(0)
@@ -346,7 +348,7 @@ def detect(df: DataFrame, gazetteer: DataFrame) -> DataFrame:
                 p.append(float(1 / (1 + np.exp(-np.clip(s, -30, 30)))))
             yield pd.DataFrame({"src": b["src"], "rec_id": b["rec_id"], "pii_type": b["kind"], "start": b["start"], "end": b["end"], "pii_text": b["span"], "confidence": p, "votes": [list(map(int, v)) for v in b["votes"]]})
 
-    return spans.mapInPandas(run, "src string, rec_id string, pii_type string, start int, end int, pii_text string, confidence double, votes array<int>").where("confidence >= 0.5 and exists(votes, v -> v > 0)")
+    return spans.mapInPandas(run, "src string, rec_id string, pii_type string, start int, end int, pii_text string, confidence double, votes array<int>").where("confidence >= 0.5")
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
