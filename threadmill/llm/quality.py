@@ -1,9 +1,10 @@
 """Problem 9: text statistics of documents, and running prose told from lists, tables and junk.
 
-A huge document is cut into chunks. Each chunk gives associative partial counts: the
-line open to its left, totals of the whole lines inside, the line open to its right.
+A huge document is cut into chunks, which are dealt over the tasks. Each chunk gives associative
+partial counts: the line open to its left, totals of the whole lines inside, the line open to its right.
 Lines cut in two are joined when partials merge, words cut in two are put together,
-and partials are merged in a tree, by chunk ranges and then by document.
+and partials are merged in a tree, by chunk ranges and then by document. A document of one chunk
+is finished where it is read.
 """
 
 from __future__ import annotations
@@ -64,72 +65,85 @@ def new_counts() -> list[int]:
     return [0] * len(FIELDS)
 
 
+_SEEN: dict[str, tuple[tuple[int, int], ...]] = {}
+
+
 def count_unit(n: list[int], unit: str, first: bool) -> None:
     """Adds a word and the white space after it."""
     word = unit.rstrip()
     n[0] += len(unit)
-    gap = unit[len(word) :]
-    if gap:
+    if len(unit) - len(word) != 1 or unit[-1] == "\t":
+        gap = unit[len(word) :]
         if "\t" in gap:
             n[13] += 1
         elif len(gap) > 1 and word:
             n[14] += 1
-    if not word:
-        return
-    n[1] += len(word)
-    n[2] += 1
+        if not word:
+            return
     if first and _BULLET.match(word):
         n[23] += 1
+    for i, x in _SEEN.get(word) or facts_of(word):
+        n[i] += x
+
+
+def facts_of(word: str) -> tuple[tuple[int, int], ...]:
+    """What a word counts for; that of short words is kept, in a table of bounded size."""
+    facts = word_facts(word)
+    if len(word) < 32:
+        if len(_SEEN) > 200_000:
+            _SEEN.clear()
+        _SEEN[word] = facts
+    return facts
+
+
+def word_facts(word: str) -> tuple[tuple[int, int], ...]:
+    """What a word counts for, as (field, number)."""
+    n = [0] * len(FIELDS)
+    n[1] = len(word)
+    n[2] = 1
     low = word.lower()
     core = low.strip(".,;:!?()[]\"'।…’“”")
     if not core.isascii():
-        n[25] += core[-1:] >= "\u0900" and core[-1:] < "\u0e00"
+        n[25] = int("\u0900" <= core[-1:] < "\u0e00")
         core = core.translate(_ALIKE)
     if core in _COMMON:
-        n[5] += len(core) > 1 or core in "ai"
+        n[5] = int(len(core) > 1 or core in "ai")
     if core.isascii() and core.isalpha() and core not in ("a", "i"):
-        n[24] += len(core) == 1 or _VOWELS.isdisjoint(core) or word[1:-1] != word[1:-1].lower() and word[1:] != word[1:].upper()
+        n[24] = int(len(core) == 1 or _VOWELS.isdisjoint(core) or word[1:-1] != word[1:-1].lower() and word[1:] != word[1:].upper())
     if core.isascii() and core.isalpha():
         letters = len(core)
     elif word.isdigit():
         letters = 0
     else:
         letters = len(_LETTER.findall(word))
-    n[3] += letters
-    n[4] += sum(not c.isalnum() for c in word) - (len(_LETTER.findall(word)) - sum(c.isalpha() for c in word) if not word.isascii() else 0)
+    n[3] = letters
+    n[4] = sum(not c.isalnum() for c in word) - (len(_LETTER.findall(word)) - sum(c.isalpha() for c in word) if not word.isascii() else 0)
     if _URL.match(word):
-        n[7] += len(word)
+        n[7] = len(word)
     elif _MARKUP.search(word):
-        n[8] += len(word)
+        n[8] = len(word)
     elif not word.isascii() and _MOJIBAKE.search(word):
-        n[9] += len(word)
+        n[9] = len(word)
     elif _HEX.match(core) and not core.isdigit() and core not in _COMMON:
-        n[10] += len(word)
+        n[10] = len(word)
     elif len(core) == 2 and core.isdigit():
-        n[26] += len(word)
+        n[26] = len(word)
     elif len(core) > 40 and word.isascii():
-        n[12] += len(word)
+        n[12] = len(word)
     elif letters == 0 and not _NUMBER.match(word) and not _BULLET.match(word) and word not in ("|", "│", "/", "-", "+", "&", "–", "—", "•", ",", ";") and not set(word) <= set("-|+=:│─┼"):
-        n[11] += len(word)
+        n[11] = len(word)
     if _NUMBER.match(word) or core in ("na", "ok", "yes", "no", "done", "pending") or word == "-":
-        n[6] += 1
-    n[15] += word.count("|") + word.count("│")
+        n[6] = 1
+    n[15] = word.count("|") + word.count("│")
     last = word[-1]
-    if last == ",":
-        n[16] += 1
-    elif last == ";":
-        n[17] += 1
-    if word in ("/", "•", "·", "–", "—", "-"):
-        n[18] += 1
-    elif word == "+":
-        n[21] += 1
+    n[16], n[17] = int(last == ","), int(last == ";")
+    n[18], n[21] = int(word in ("/", "•", "·", "–", "—", "-")), int(word == "+")
     inner = word[:-1]
     if "," in inner or ";" in inner:
-        n[19] += len(re.findall(r"[^\d\s][,;]|[,;]\D|\d[;]|/\d+,|\d,\d{1,2}(?=,|$)|\d,\d{4,}", inner))
-    if word.rstrip(_CLOSE).endswith(_END) and not _BULLET.match(word):
-        n[20] += 1
-    if core in _FURNITURE_WORDS:
-        n[22] += 1
+        n[19] = len(re.findall(r"[^\d\s][,;]|[,;]\D|\d[;]|/\d+,|\d,\d{1,2}(?=,|$)|\d,\d{4,}", inner))
+    n[20] = int(word.rstrip(_CLOSE).endswith(_END) and not _BULLET.match(word))
+    n[22] = int(core in _FURNITURE_WORDS)
+    return tuple((i, x) for i, x in enumerate(n) if x)
 
 
 def line_kind(n: list[int], bulleted: bool) -> str:
@@ -214,8 +228,16 @@ def ends_sentence(text: str) -> bool:
 def whole_line(line: str) -> tuple[list[int], bool]:
     n = new_counts()
     line = line.strip()
-    for i, u in enumerate(split_units(line)):
-        count_unit(n, u, i == 0)
+    words = line.split()
+    if len(words) == line.count(" ") + 1 and "  " not in line:  # nothing but single spaces between words
+        n[0] = len(line)
+        n[23] = 1 if _BULLET.match(words[0]) else 0
+        for word in words:
+            for i, x in _SEEN.get(word) or facts_of(word):
+                n[i] += x
+    else:
+        for i, u in enumerate(split_units(line)):
+            count_unit(n, u, i == 0)
     return n, ends_sentence(line[-8:])
 
 
@@ -330,19 +352,15 @@ def finish(p: tuple) -> tuple:
     return words, share(solid, words), share(totals[4], solid), share(ended, count), share(totals[5], words), count, decide(kinds, solid)
 
 
-def partials(df: DataFrame, key: str, text: str, chunk: int) -> DataFrame:
-    """(key, part, state, length): a pickled partial for each chunk of each text."""
-    kind = dict(df.dtypes)[key]
-    n = F.length("__t")
-    df = spread(df.select(F.col(key), F.col(text).alias("__t")).where(F.col(key).isNotNull()))
-    df = df.select(key, F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(n / chunk).cast("int") - 1, F.lit(0)))).alias("part"), "__t")
-    df = df.select(key, "part", F.when(n <= chunk, F.col("__t")).otherwise(F.substring(F.col("__t"), F.col("part") * chunk + 1, F.lit(chunk))).alias("__t"))
+RESULT = "n_words long, mean_word_length double, symbol_share double, punctuated_line_share double, common_share double, n_lines long, kind string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({key: b[key], "part": b["part"], "state": [pickle.dumps(measure(t)) for t in b["__t"]], "length": [len(t) for t in b["__t"]]})
 
-    return df.where(F.col("__t").isNotNull()).mapInPandas(run, f"`{key}` {kind}, part int, state binary, length long")
+def rows_of(keys: pd.Series, key: str, chars: list[int], done: list[tuple]) -> pd.DataFrame:
+    got = pd.DataFrame(done, columns=[c.split()[0] for c in RESULT.split(", ")])
+    got["kind"] = got["kind"].astype(object).where(got["kind"].notna(), None)
+    got.insert(0, "n_chars", chars)
+    got.insert(0, key, keys.to_numpy())
+    return got
 
 
 @F.pandas_udf(T.BinaryType())
@@ -359,31 +377,52 @@ def _merge_all(states: pd.Series) -> pd.Series:
     return states.map(one)
 
 
+def huge(df: DataFrame, key: str, kind: str, chunk: int, fan: int) -> DataFrame:
+    """The statistics of texts of several chunks, (key, __t): cut, dealt over the tasks, counted, merged in a tree."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k, row, t in zip(b[key], b["__row"], b["__t"], strict=True):
+                for lo in range(0, len(t), 16 * chunk):  # a few chunks at a time, so no batch holds the text twice
+                    pieces = [t[i : i + chunk] for i in range(lo, min(len(t), lo + 16 * chunk), chunk)]
+                    yield pd.DataFrame({key: [k] * len(pieces), "__row": row, "part": range(lo // chunk, lo // chunk + len(pieces)), "__t": pieces})
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "__row": b["__row"], "part": b["part"], "state": [pickle.dumps(measure(t)) for t in b["__t"]], "length": [len(t) for t in b["__t"]]})
+
+    own = [key, "__row"]
+    parts = df.withColumn("__row", F.monotonically_increasing_id()).mapInPandas(cut, f"`{key}` {kind}, __row long, part int, __t string")
+    parts = parts.repartition(F.col("__row"), F.col("part")).mapInPandas(count, f"`{key}` {kind}, __row long, part int, state binary, length long")
+    parts = parts.withColumn("range", (F.col("part") / fan).cast("int"))
+    level = parts.groupBy(*own, "range").agg(F.sum("length").alias("length"), F.sort_array(F.collect_list(F.struct("part", "state"))).alias("xs"))
+    level = level.select(*own, F.col("range").alias("part"), "length", _merge_all("xs").alias("state"))
+    level = level.groupBy(*own).agg(F.sum("length").alias("n_chars"), F.sort_array(F.collect_list(F.struct("part", "state"))).alias("xs"))
+
+    def end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield rows_of(b[key], key, b["n_chars"].tolist(), [finish(pickle.loads(s)) for s in b["state"]])
+
+    return level.select(key, "n_chars", _merge_all("xs").alias("state")).mapInPandas(end, f"`{key}` {kind}, n_chars long, {RESULT}")
+
+
 def statistics(df: DataFrame, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, fan: int = 64) -> DataFrame:
     """One row per document: n_chars, n_words, mean_word_length, symbol_share, punctuated_line_share, common_share, n_lines, kind.
 
     A word is a run without white space; shares are of characters that are not white space
     (symbols), of lines that are not blank (ending in punctuation) and of words (common). An empty
-    or blank text has zeros and no kind; a null text or key gives no row. A repeated key counts
-    once if the texts are equal; keys are taken to be unique otherwise. Other columns are left out.
+    or blank text has zeros and no kind; a null text or key gives no row. A repeated key gives
+    a row each time. Other columns are left out.
     """
-    parts = partials(df, key, text, chunk)
-    keys = [key]
-    parts = parts.withColumn("range", (F.col("part") / fan).cast("int"))
-    level = parts.groupBy(*keys, "range").agg(F.sum("length").alias("length"), F.sort_array(F.collect_list(F.struct("part", "state"))).alias("xs"))
-    level = level.select(*keys, F.col("range").alias("part"), "length", _merge_all("xs").alias("state"))
-    level = level.groupBy(*keys).agg(F.sum("length").alias("n_chars"), F.sort_array(F.collect_list(F.struct("part", "state"))).alias("xs"))
-    level = level.select(*keys, "n_chars", _merge_all("xs").alias("state"))
     kind = dict(df.dtypes)[key]
-    out = "n_words long, mean_word_length double, symbol_share double, punctuated_line_share double, common_share double, n_lines long, kind string"
+    df = df.select(F.col(key), F.col(text).alias("__t")).where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    one = F.length("__t") <= chunk
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = pd.DataFrame([finish(pickle.loads(s)) for s in b["state"]], columns=[c.split()[0] for c in out.split(", ")])
-            got["kind"] = got["kind"].astype(object).where(got["kind"].notna(), None)
-            yield pd.concat([b[[key, "n_chars"]].reset_index(drop=True), got], axis=1)
+            yield rows_of(b[key], key, [len(t) for t in b["__t"]], [finish(measure(t)) for t in b["__t"]])
 
-    return level.mapInPandas(run, f"`{key}` {kind}, n_chars long, {out}")
+    return spread(df.where(one)).mapInPandas(run, f"`{key}` {kind}, n_chars long, {RESULT}").unionByName(huge(df.where(~one), key, kind, chunk, fan))
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
