@@ -113,8 +113,8 @@ _SETS = [np.array([(0, *c) for c in combinations(range(1, w), n - 1)]) for n, w
 _WEIGHTS = [np.array([DECAY ** (int(c[-1]) + 1 - len(c)) for c in s], np.float32) for s in _SETS]
 
 
-def occurrences(sents: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """(place, subsequence, weight) for each way to skip: a subsequence of n characters within a window counts once for each of its places, less for every character it skips."""
+def occurrences(sents: list[str]) -> Iterator[tuple[np.ndarray, float]]:
+    """(subsequence at each place, weight) for each way to skip: a subsequence of n characters within a window counts once for each of its places, less for every character it skips."""
     buf = np.frombuffer(joined(sents), np.uint8)
     code = _CODE[buf]
     inside = buf != 0
@@ -125,8 +125,8 @@ def occurrences(sents: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, floa
             for j in skip[1:]:
                 k = k * 31 + code[j : j + n]
             k = (k * 0x9E3779B1 >> 7) & (DIM - 1)
-            at = np.flatnonzero(inside[:n] & inside[int(skip[-1]) :])
-            yield at, k[at], float(w)
+            k[~(inside[:n] & inside[int(skip[-1]) :])] = DIM  # crosses the end of a sentence
+            yield k, float(w)
 
 
 def joined(sents: list[str]) -> bytes:
@@ -163,8 +163,9 @@ class Rows:
     @staticmethod
     def part(sents: list[str], at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         start, keys, values = bounds(sents), [], []
-        for where, k, w in occurrences(sents):
-            keys.append((np.searchsorted(start, where, "right") - 1) * DIM + k)
+        for k, w in occurrences(sents):
+            where = np.flatnonzero(k < DIM)
+            keys.append((np.searchsorted(start, where, "right") - 1) * DIM + k[where])
             values.append(np.full(len(where), w, np.float32))
         key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         sent = key // DIM
@@ -340,13 +341,15 @@ def best_cut(score: np.ndarray, toxic: np.ndarray) -> float:
 def raw_scores(sents: list[str], weights: np.ndarray) -> np.ndarray:
     """Decision values (sentence, machine)."""
     out = np.zeros((len(sents), weights.shape[1]))
+    of = np.concatenate([weights[:-1], np.zeros((1, weights.shape[1]), np.float32)])
     for lo in range(0, len(sents), 400):
         part = sents[lo : lo + 400]
-        start, size = bounds(part), len(joined(part))
-        sums = np.zeros((size, weights.shape[1]), np.float32)
-        for at, k, w in occurrences(part):
-            sums[at] += weights[k] * w
-        out[lo : lo + 400] = np.add.reduceat(sums, start, axis=0) / norms(part)[:, None] + weights[-1]
+        sums = np.zeros((len(joined(part)), weights.shape[1]), np.float32)
+        for k, w in occurrences(part):
+            got = of.take(k, axis=0)
+            got *= np.float32(w)
+            sums[: len(k)] += got
+        out[lo : lo + 400] = np.add.reduceat(sums, bounds(part), axis=0) / norms(part)[:, None] + weights[-1]
     return out
 
 
