@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -58,29 +59,53 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-_staged: list[tuple[SparkSession, str]] = []
+#: Paths of staged tables by session.
+_staged: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _drop_staged() -> None:
-    while _staged:
-        spark, path = _staged.pop()
+    for path, spark in list(_staged.items()):
+        _staged.pop(path, None)
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session may be gone already
-            return
+            continue
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     It cuts the lineage, survives lost executors, and unlike a checkpoint keeps
-    column pruning and pushed filters. The tables go when the process ends.
+    column pruning and pushed filters. The tables go with ``unstage``, or when the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _staged:
         atexit.register(_drop_staged)
-    _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _staged[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._threadmill_path = path
+    return out
+
+
+def unstage(*frames: DataFrame | None) -> None:
+    """Delete tables that ``stage`` gave back and that nothing will read again, so that a loop holds the room of one round.
+
+    What was computed from them must have been staged or collected already. Frames that were not staged are let be.
+    Shuffle files go when the JVM collects the plans they belong to, which it is asked to do.
+    """
+    for f in frames:
+        path = getattr(f, "_threadmill_path", None)
+        spark = _staged.pop(path, None)
+        if spark is not None:
+            _delete(spark, path)
+    spark = next((f.sparkSession for f in frames if f is not None), None)
+    if spark is not None:
+        gc.collect()
+        spark._jvm.System.gc()
