@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from threadmill.llm.neardup import plain_rewriter
 from threadmill.llm.records import has_content
-from threadmill.session import spread, stage, table
+from threadmill.session import spread, stage, table, unstage
 
 DIM = 128
 #: Neighbours of a record.
@@ -251,7 +251,8 @@ def neighbour_graph(nodes: DataFrame, n: int, k: int = K, target: float = 0.95,
         # two turns in cells come first, as joins of neighbours need a graph to start from
         keyed = in_cells(nodes, n, seed + t) if t < 2 or t % 2 else by_neighbours(nodes, graph, seed + t)
         part = join_blocks(keyed, 2 * n if t < 2 or t % 2 else n, k)
-        graph = stage(best_of(part if graph is None else graph.unionByName(part), k), "p1g")
+        old, graph = graph, stage(best_of(part if graph is None else graph.unionByName(part), k), "p1g")
+        unstage(old)
         recall = recall_of(graph, truth)
         log.info("turn %d: recall %.3f", t + 1, recall)
         if recall >= target:
@@ -303,7 +304,7 @@ def move_all(edges: DataFrame, label: DataFrame, few: float, gamma: float, seed:
     """
     r = label.agg(F.sum("k"), F.count("*")).first()
     total, n = r[0] or 1.0, r[1]
-    shares, heights = [1.0], []
+    shares, heights, held = [1.0], [], None
     for t in range(most):
         own = label.join(label.groupBy("c").agg(F.sum("k").alias("sum_k")), "c")
         near = edges.where("u <> v").join(own.select(F.col("node").alias("v"), "c", "sum_k"), "v").select("u", "c", "w", "sum_k", F.lit(None).cast("double").alias("k"))
@@ -319,6 +320,8 @@ def move_all(edges: DataFrame, label: DataFrame, few: float, gamma: float, seed:
         turn = F.pmod(F.xxhash64("u", F.lit(seed + t // 2)), F.lit(2)) == t % 2
         go = turn & (F.col("best.gain") > F.col("stay") + 1e-9)
         label = stage(best.select(F.col("u").alias("node"), "k", F.when(go, F.col("best.c")).otherwise(F.col("own")).alias("c"), go.cast("int").alias("moved"), "stay"), "p1l")
+        unstage(held)
+        held = label
         r = label.agg(F.sum("moved"), F.sum("stay")).first()
         label = label.select("node", "k", "c")
         shares.append((r[0] or 0) / max(1, n))
@@ -337,9 +340,12 @@ def communities(edges: DataFrame, gamma: float = 1.0, few: float = 0.01, slow: f
     move fewer than ``few`` of them. A level of ``alone`` edges or fewer is finished in memory. More than ``most``
     rounds or levels are an error.
     """
-    spark, member, first = edges.sparkSession, None, None
+    spark, member, first, below = edges.sparkSession, None, None, None
     for level in range(most):
-        edges = stage(edges, "p1e")
+        edges = edges if level == 0 and hasattr(edges, "_threadmill_path") else stage(edges, "p1e")
+        if first and below is not first[0]:
+            unstage(below)
+        below = edges
         done = edges.count() <= alone
         if done:
             t = edges.select("u", "v", F.col("w").cast("double").alias("w")).orderBy("u", "v").toArrow()
@@ -366,7 +372,9 @@ def onward(member: DataFrame | None, step: DataFrame) -> DataFrame:
     """(node, community) after one more level."""
     if member is None:
         return stage(step, "p1m")
-    return stage(member.withColumnRenamed("community", "mid").join(step.withColumnRenamed("node", "mid"), "mid").select("node", "community"), "p1m")
+    new = stage(member.withColumnRenamed("community", "mid").join(step.withColumnRenamed("node", "mid"), "mid").select("node", "community"), "p1m")
+    unstage(member)
+    return new
 
 
 def undirected(graph: DataFrame) -> DataFrame:
@@ -395,8 +403,10 @@ def cluster(df: DataFrame, weights: dict[str, float], only: DataFrame | None = N
     # short numbers for nodes, drawn once as the table is written, take less room in every later shuffle
     nodes = stage(got.groupBy(F.col("node").alias("hash")).agg(F.first("vec").alias("vec")).withColumn("node", F.monotonically_increasing_id()), "p1n")
     member = stage(got.select("id", F.col("node").alias("hash")).join(nodes.select("hash", "node"), "hash").select("id", "node").distinct(), "p1i")
-    nodes = nodes.select("node", "vec")
-    edges = stage(undirected(neighbour_graph(nodes, nodes.count())), "p1u")
+    unstage(got)
+    graph = neighbour_graph(nodes.select("node", "vec"), nodes.count())
+    edges = stage(undirected(graph), "p1u")
+    unstage(graph, nodes)
     return member, communities(edges), edges
 
 
