@@ -26,7 +26,7 @@ MARKUP_BEFORE = (r"!\[.*?\]\(.*?\)", r"\[.*?\]\(.*?\)", r"`{1,3}.*?`{1,3}")
 MARKUP_AFTER = (r"#{1,6}\s*", r"---+", r"\|\s*", r"- - -")
 FORUM_LINKS = r"/r/\w+|/u/\w+|reddit\.com/r/\w+|reddit\.com/u/\w+|permalink\b|crosspost\b|x-post\b|xpost\b"
 ENGAGEMENT = r"upvote[s]?\b|downvote[s]?\b|\d+\s*(upvotes?|downvotes?|points?)|score:\s*\d+|edited\b| award[s]?\b"
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&ndash;": "–", "&mdash;": "—"}
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&ndash;": "-", "&mdash;": "—"}
 NO_WIDTH = "[\\u200b\\u200c\\u200d\\u2060\\ufeff\\u00ad\\u200e\\u200f]+"
 
 
@@ -103,8 +103,8 @@ def artifact_audit(df: DataFrame, text: str) -> DataFrame:
     return df.agg(*[F.count_if(c).alias(f"n_{k}") for k, c in has.items()], F.count_if(some).alias("n_any"), F.count_if(strip(t) == "").alias("n_empty"), F.count("*").alias("n_texts"))
 
 
-# A small default rule set; callers bring their own for their corpus.
-SPELLINGS = {"nhi": "nahi", "nahin": "nahi", "rha": "raha", "rhi": "rahi", "rhe": "rahe", "kr": "kar", "krna": "karna", "kru": "karu", "karoon": "karu", "gya": "gaya", "gye": "gaye", "khtm": "khatam", "barbad": "barbaad", "ab": "abhi", "me": "mein", "n": "na", "h": "hai", "k": "ka", "e": "se", "bhot": "bahut", "yr": "yaar", "pls": "please", "u": "you"}
+# A small default rule set; callers bring their own for their corpus, see ``threadmill.functions.rules``.
+SPELLINGS = {"nahin": "nahi", "nai": "nahi", "karoon": "karu", "bohot": "bahut", "bahot": "bahut", "yr": "yaar", "pls": "please", "plz": "please", "u": "you", "ur": "your", "r": "are", "thx": "thanks", "govt": "government", "clg": "college", "sem": "semester", "maths": "mathematics", "prof": "professor", "msg": "message"}
 PHRASES = {
     "drop year": "drop_year", "double drop": "double_drop", "mock test": "mock_test", "test series": "test_series", "all india rank": "all_india_rank", "sectional cutoff": "sectional_cutoff", "canon event": "canon_event", "side quest": "side_quest", "final boss": "final_boss", "kya karu": "kya_karu", "nahi ho raha": "nahi_ho_raha",
     "life barbaad": "life_barbaad", "tier 3": "tier_3", "tier-3": "tier_3", "tier3": "tier_3", "mental breakdown": "mental_breakdown", "family pressure": "family_pressure", "strict parents": "strict_parents", "work experience": "work_experience", "return offer": "return_offer", "cold message": "cold_message", "course credits": "course_credits",
@@ -207,6 +207,7 @@ def anonymize(text: Column, most: int | None = 320, contacts: bool = False) -> C
 
 # Phrases of topics, joined in this order.
 TOPIC_PHRASES = {"kya karu": "kya_karu", "nahi ho raha": "nahi_ho_raha", "nhi ho rha": "nhi_ho_rha", "chud gaye guru": "chud_gaye_guru", "chud gye guru": "chud_gaye_guru", "canon event": "canon_event", "life barbaad": "life_barbaad", "drop year barbaad": "drop_year_barbaad", "drop year": "drop_year", "placement anxiety": "placement_anxiety", "career uncertainty": "career_uncertainty", "family pressure": "family_pressure", "mental breakdown": "mental_breakdown", "double dropper": "double_dropper", "thak gaya": "thak_gaya", "lag gaye": "lag_gaye", "lag gye": "lag_gaye"}
+# What counts as an implicit marker.
 MARKERS_IMPLICIT = ("cooked", "canon_event", "kya_karu", "nahi_ho_raha", "nhi_ho_rha", "thak_gaya", "lag_gaye", "chud_gaye_guru", "life_barbaad", "drop_year_barbaad")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadmill.functions.text import strip
+from threadmill.functions.text import STOPWORDS, strip
 
 #: Categories in order; ties go to the first.
 CATEGORIES = ("support_empathy", "advice_guidance", "personal_experience", "encouragement_motivation", "information_resources", "neutral_discussion", "humor_meme_coping", "dismissive_minimizing", "toxic_abusive", "blame_criticism", "self_disclosure", "crisis_escalation")
@@ -26,9 +26,10 @@ RULES: dict[str, list[tuple[float, str]]] = {
     "self_disclosure": [(1.0, "i have been"), (1.0, "main khud"), (0.5, "never told")],
     "crisis_escalation": [(2.0, "talk to a counsellor"), (2.0, "do not stay alone"), (1.5, "helpline"), (1.0, "this sounds serious")],
 }
-SHORT_HUMOR = ("lol", "lmao", "f", "cooked", "rip", "same", "bruh", "this", "real")
+# Short texts that are nothing but a laugh, and what bots say.
+SHORT_HUMOR = ("lol", "lmao", "rofl", "haha", "hehe", "xd", "bruh", "rip", "f")
 EMOJI = "[\\x{1F480}\\x{1F62D}\\x{1F921}\\x{1F602}\\x{1FAE0}\\x{1F923}]"
-BOT = r"i am a bot|automoderator|this action was performed automatically|contact the moderators|beep boop"
+BOT = r"auto\s*moderator|i am a bot|this action was performed automatically|contact the moderators|report it using"
 SENSITIVE = ("suicidal", "depression_anxiety", "academic_burnout")
 
 
@@ -52,7 +53,7 @@ def classify(df: DataFrame, text: str, author: str, parent: str, score: str, rul
     words = F.size(F.filter(F.split(low, r"(?U)\s+"), lambda w: w != ""))
     emoji = F.regexp_count(t, F.lit(EMOJI))
     bot = F.coalesce(F.lower(F.col(author)) == "automoderator", F.lit(False)) | low.rlike(BOT)
-    short_fun = (emoji > 0) | F.exists(F.split(low, r"(?U)\s+"), lambda w: w.isin(*SHORT_HUMOR))
+    short_fun = (emoji > 0) | low.isin(*SHORT_HUMOR)
     out = df.withColumns({"__low": low, "__words": words, "__emoji": emoji, "__case": F.when(F.length(t) < 3, "neutral").when(bot, "neutral").when(words <= 2, F.when(short_fun, "humor").otherwise("neutral")).otherwise("score")})
     s = {c: f"score_{c}" for c in CATEGORIES}
     out = out.withColumns({s[c]: keyword_score(F.col("__low"), rules.get(c, ())) for c in CATEGORIES})
@@ -110,3 +111,35 @@ def review_topic(stop_hits: Column, size: Column) -> Column:
 
 def keyword_quality(artifact: Column, content_words: Column) -> Column:
     return F.when(artifact, "artifact").when(content_words <= 2, "mixed").otherwise("coherent")
+
+
+# What shows that a keyword is left over from links and markup.
+ARTIFACT_KEYWORD = r"(?i)format=png|format=pjpg|auto=webp|x200b|urn%3a|s=[a-f0-9]{32,}|[a-f0-9]{40,}|preview\.redd|redd\.it"
+# Domains of our own with the keywords that belong to them.
+DOMAINS = {
+    "Exams": ("exam", "mock", "rank", "percentile", "cutoff", "marks", "test", "paper", "syllabus"), "Jobs": ("job", "offer", "placement", "internship", "interview", "resume", "recruiter", "stipend"),
+    "Study life": ("class", "lecture", "notes", "library", "hostel", "mess", "attendance", "semester"), "Mind": ("anxiety", "panic", "sleep", "burnout", "lonely", "therapy", "stress"), "Family": ("mother", "father", "parents", "family", "cousin", "mummy", "papa"),
+    "Chat": ("hai", "nahi", "bhai", "yaar", "kya", "main", "aur", "mein"),
+}
+
+
+def domain_theme(keywords: DataFrame, topic: str, word: str, rank: str, domains: Mapping[str, Sequence[str]] = DOMAINS, stop: Sequence[str] = STOPWORDS) -> DataFrame:
+    """(topic, theme, hits): the domain that most of a topic's keywords belong to; of equals the first.
+
+    Without a hit, the first two keywords that are no stop words and longer than two characters, in title case, or 'General Discussion'.
+    """
+    rows = [(d, i, w) for i, (d, ws) in enumerate(domains.items()) for w in ws]
+    table = keywords.sparkSession.createDataFrame(rows, "theme string, o int, w string")
+    hits = keywords.join(F.broadcast(table), F.col(word) == F.col("w")).groupBy(topic, "theme", "o").agg(F.count("*").alias("hits"))
+    best = hits.groupBy(topic).agg(F.max(F.struct(F.col("hits"), (-F.col("o")).alias("o"), F.col("theme"))).alias("b"))
+    own = F.when(~F.col(word).isin(*stop) & (F.length(word) > 2), F.struct(F.col(rank).alias("r"), F.col(word).alias("w")))
+    rest = keywords.groupBy(topic).agg(F.array_sort(F.collect_list(own)).alias("ws"))
+    two = F.initcap(F.array_join(F.transform(F.slice("ws", 1, 2), lambda x: x["w"]), " "))
+    fallback = F.when(F.size("ws") > 0, two).otherwise("General Discussion")
+    return rest.join(best, topic, "left").select(topic, F.coalesce("b.theme", fallback).alias("theme"), F.coalesce("b.hits", F.lit(0)).alias("hits"))
+
+
+def keyword_labels(keywords: DataFrame, topic: str, word: str, stop: Sequence[str] = STOPWORDS) -> DataFrame:
+    """(topic, quality): artifact if any keyword is one, mixed with two or fewer that are no stop words, else coherent."""
+    got = keywords.groupBy(topic).agg(F.bool_or(F.col(word).rlike(ARTIFACT_KEYWORD)).alias("a"), F.count_if(~F.col(word).isin(*stop)).alias("n"))
+    return got.select(topic, keyword_quality(F.col("a"), F.col("n")).alias("quality"))

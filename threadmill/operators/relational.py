@@ -23,9 +23,9 @@ def counts(df: DataFrame, *by: str, name: str = "n") -> DataFrame:
 
 
 def shares(df: DataFrame, by: str, digits: int = 4) -> DataFrame:
-    """(by, n, pct): counts with the percentage of all rows. The window runs over the groups, not the rows."""
-    total = F.sum("n").over(Window.partitionBy())
-    return counts(df, by).select(by, "n", F.round(100.0 * F.col("n") / total, digits).alias("pct"))
+    """(by, n, pct): counts with the percentage of all rows, which are counted as one row and joined."""
+    total = df.agg(F.count("*").alias("__total"))
+    return counts(df, by).crossJoin(F.broadcast(total)).select(by, "n", F.round(100.0 * F.col("n") / F.col("__total"), digits).alias("pct"))
 
 
 def crosstab(df: DataFrame, row: str, col: str, norm: str | None = None, digits: int = 4) -> DataFrame:
@@ -186,3 +186,26 @@ def sanity_gate(df: DataFrame, topics: str, outliers: str, least: int = 6, most:
     few, loose = F.col(topics) < least, F.col(outliers) > most
     reason = F.when(few, F.concat(F.lit("too few topics: "), F.col(topics).cast("string"))).when(loose, F.concat(F.lit("too many outliers: "), F.format_string("%.2f", outliers)))
     return df.withColumn("reason", reason).withColumn("valid", reason.isNull())
+
+
+def length_batches(df: DataFrame, key: str, length: str, size: int = 64) -> DataFrame:
+    """(key, batch): rows in order of length, cut into batches of ``size``; the key restores their order. Ranges of lengths are numbered in parallel."""
+    got = rank_in_groups(df.select(key, length).withColumn("__g", F.lit(0)), ["__g"], [(length, False), (key, False)], "__place")
+    return got.select(key, F.floor(F.col("__place") / size).cast("long").alias("batch"))
+
+
+def join_metrics(frames: Mapping[str, DataFrame], model: str) -> DataFrame:
+    """One row for each model that every family of metrics has; columns are called family_metric. Models are few."""
+    out: DataFrame | None = None
+    for name, f in frames.items():
+        f = f.select(model, *[F.col(c).alias(f"{name}_{c}") for c in f.columns if c != model])
+        out = f if out is None else out.join(f, model)
+    return out
+
+
+def weighted_score(df: DataFrame, weights: Mapping[str, float], lower_is_better: Sequence[str] = (), name: str = "weighted_score", digits: int = 6) -> DataFrame:
+    """Adds the weighted sum of min-max scaled metrics; metrics of which less is better are turned round. Meant for aggregated rows."""
+    total = F.lit(0.0)
+    for c, w in weights.items():
+        total = total + F.lit(float(w)) * (1 - min_max(c) if c in lower_is_better else min_max(c))
+    return df.withColumn(name, F.round(total, digits))

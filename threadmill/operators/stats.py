@@ -29,6 +29,43 @@ def chi_square(df: DataFrame, row: str, col: str, digits: int = 4) -> DataFrame:
     return got.select("n", F.round("chi2", digits).alias("chi2"), ((F.col("rows") - 1) * (F.col("cols") - 1)).alias("dof"), F.round(F.sqrt(ratio(F.col("chi2"), F.col("n") * least)), digits).alias("cramers_v"))
 
 
+def chi_square_tail(x: Column, dof: Column) -> Column:
+    """P(X > x) of the chi-square distribution; Spark has no incomplete gamma function. Null for null, 1 without freedom."""
+    import math
+
+    def upper(x: float, k: float) -> float:
+        a, y = k / 2, x / 2
+        if y <= 0 or k <= 0:
+            return 1.0
+        log_front = a * math.log(y) - y - math.lgamma(a)
+        if y < a + 1:  # the series of the lower function
+            term = total = 1 / a
+            n = 0
+            while abs(term) > 1e-16 * abs(total) and n < 100_000:
+                n += 1
+                term *= y / (a + n)
+                total += term
+            return max(0.0, 1 - total * math.exp(log_front))
+        c = 1e300  # the continued fraction of the upper one, by Lentz
+        b, d = y + 1 - a, 1 / (y + 1 - a)
+        h = d
+        for i in range(1, 100_000):
+            an = -i * (i - a)
+            b += 2
+            d = 1 / (an * d + b)
+            c = b + an / c
+            h *= d * c
+            if abs(d * c - 1) < 1e-15:
+                break
+        return h * math.exp(log_front)
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) or pd.isna(b) else upper(float(a), float(b)) for a, b in zip(x, k, strict=True)], dtype="float64")
+
+    return tail(x, dof)
+
+
 def relative_rate(df: DataFrame, category: str, subset: Column, digits: int = 4) -> DataFrame:
     """(category, n, n_subset, relative_rate): the share in the subset over the share in all."""
     got = df.groupBy(category).agg(F.count("*").alias("n"), F.count_if(subset).alias("n_subset"))

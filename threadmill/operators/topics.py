@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from threadmill.functions.text import STOPWORDS, without_stopwords, word_tokens
 from threadmill.operators.relational import first_by, ratio
+from threadmill.session import spread
 
 
 def terms(df: DataFrame, key: str, text: str, least: int = 2, stop: Sequence[str] = (), also: Sequence[str] = ()) -> DataFrame:
@@ -71,26 +73,69 @@ def half_split_jaccard(top: DataFrame, topic: str) -> DataFrame:
     return per.agg(F.round(F.coalesce(ratio(F.sum(F.col("a") * F.col("b")), F.count("*")), F.lit(0.0)), 6).alias("jaccard"))
 
 
-def window_sets(df: DataFrame, key: str, text: str, wanted: DataFrame, size: int, least: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Boolean sliding windows over token positions, kept to the wanted terms.
+_WORD = re.compile("[a-z0-9_]+")
 
-    (key, w, term) for each window that holds a term, and one row with the number of all windows. A
-    text shorter than ``size`` is one window. Only wanted tokens are spread over windows.
-    """
-    words = df.where(F.col(key).isNotNull()).select(key, word_tokens(F.col(text), least).alias("ws")).where(F.size("ws") > 0)
-    total = words.agg(F.sum(F.greatest(F.lit(1), F.size("ws") - size + 1)).alias("n_windows"))
-    tok = words.select(key, F.size("ws").alias("len"), F.posexplode("ws").alias("pos", "term")).join(F.broadcast(wanted.select("term").distinct()), "term")  # keywords of topics: a few hundred
-    lo, hi = F.greatest(F.lit(0), F.col("pos") - size + 1), F.least(F.col("pos"), F.greatest(F.lit(0), F.col("len") - size))
-    return tok.select(key, F.explode(F.sequence(lo, hi)).alias("w"), "term").distinct(), total
 
+def pair_counts(df: DataFrame, key: str, text: str, wanted: DataFrame, size: int, least: int = 2, at_once: int = 4_096) -> DataFrame:
+    """(a, b, n_ab, n_a, n_b, n_windows) for all ordered pairs of wanted terms that meet in a window, and of terms with themselves.
 
-def pair_counts(windows: DataFrame, total: DataFrame, key: str) -> DataFrame:
-    """(a, b, n_ab, n_a, n_b, n_windows) for all ordered pairs of terms that meet in a window, and of terms with themselves."""
-    sets = windows.groupBy(key, "w").agg(F.sort_array(F.collect_set("term")).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
-    pairs = sets.select("n", F.explode("s").alias("a"), "s").select("n", "a", F.explode("s").alias("b")).groupBy("a", "b").agg(F.sum("n").alias("n_ab"))
-    single = pairs.where("a = b")
-    got = pairs.join(single.select("a", F.col("n_ab").alias("n_a")), "a").join(single.select(F.col("a").alias("b"), F.col("n_ab").alias("n_b")), "b")
-    return got.crossJoin(F.broadcast(total))  # one row
+    Boolean sliding windows of ``size`` tokens; a text shorter than that is one window. Each text is read
+    once and its windows are counted where it is read, so only sums for pairs of terms are shuffled. Rows
+    with a null key and texts without tokens have no windows.
+    """
+    terms_ = sorted(r["term"] for r in wanted.select("term").distinct().collect())  # keywords of topics: a few hundred
+    at = {t: i for i, t in enumerate(terms_)}
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = 0, np.zeros((len(terms_), len(terms_)), np.int64)
+        for batch in batches:
+            for t in batch["t"]:
+                words = [w for w in _WORD.findall(t) if len(w) >= least]
+                if not words:
+                    continue
+                windows = max(1, len(words) - size + 1)
+                total += windows
+                where: dict[int, list[int]] = {}
+                for p, w in enumerate(words):
+                    if w in at:
+                        where.setdefault(at[w], []).append(p)
+                if not where:
+                    continue
+                ids = np.array(list(where))
+                if windows == 1:
+                    n[np.ix_(ids, ids)] += 1
+                    continue
+                for lo in range(0, windows, at_once):  # a long text in slices
+                    hi = min(windows, lo + at_once)
+                    inside = np.zeros((len(ids), hi - lo), np.float32)
+                    for row, places in enumerate(where.values()):
+                        for p in places:
+                            inside[row, max(0, p - size + 1 - lo) : max(0, p + 1 - lo)] = 1
+                    n[np.ix_(ids, ids)] += (inside @ inside.T).round().astype(np.int64)
+        a, b = np.nonzero(n)
+        yield pd.DataFrame({"i": np.r_[a, -1], "j": np.r_[b, -1], "n": np.r_[n[a, b], total]})
+
+    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.lower(text).alias("t"))
+    sums = spread(rows).mapInPandas(count, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()  # as many as pairs of keywords
+    n = {(r["i"], r["j"]): r["n"] for r in sums}
+    out = [(terms_[i], terms_[j], c, n[i, i], n[j, j], n[-1, -1]) for (i, j), c in sorted(n.items()) if i >= 0]
+    return df.sparkSession.createDataFrame(out, "a string, b string, n_ab long, n_a long, n_b long, n_windows long")
+
+
+def dictionary(df: DataFrame, key: str, text: str, no_below: int, no_above: float, least: int = 2) -> DataFrame:
+    """(term, df): terms in at least ``no_below`` texts and at most the share ``no_above`` of those that have any."""
+    words = df.where(F.col(key).isNotNull()).select(F.array_distinct(word_tokens(F.col(text), least)).alias("ws")).where(F.size("ws") > 0)
+    n = words.agg(F.count("*").alias("n"))
+    got = words.select(F.explode("ws").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return got.crossJoin(F.broadcast(n)).where((F.col("df") >= no_below) & (F.col("df") <= no_above * F.col("n"))).drop("n")  # one row
+
+
+def known_keywords(top: DataFrame, words: DataFrame, topic: str, least: int = 3, topics: int = 2) -> DataFrame:
+    """The keywords that are in a dictionary, of topics with at least ``least`` of them; none at all if fewer than ``topics`` topics are left."""
+    top = top.join(words.select("term"), "term", "left_semi")
+    good = top.groupBy(topic).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).drop("__n")
+    good = good.withColumn("__m", F.count("*").over(Window.partitionBy())).where(F.col("__m") >= topics).select(topic)  # topics are few
+    return top.join(F.broadcast(good), topic, "left_semi")
 
 
 def npmi(eps: float = 1e-12):
@@ -100,7 +145,7 @@ def npmi(eps: float = 1e-12):
 
 def coherence_npmi(df: DataFrame, key: str, text: str, top: DataFrame, topic: str, size: int = 10, digits: int = 6) -> DataFrame:
     """(topic, c_npmi): mean NPMI of the pairs of a topic's keywords; pairs that never meet count with their limit value."""
-    counts = pair_counts(*window_sets(df, key, text, top, size), key)
+    counts = pair_counts(df, key, text, top, size)
     single = counts.where("a = b").select(F.col("a").alias("t"), F.col("n_ab").alias("n_t"), "n_windows")
     k = top.select(topic, "rank", "term")
     pairs = k.select(topic, F.col("rank").alias("i"), F.col("term").alias("a")).join(k.select(topic, F.col("rank").alias("j"), F.col("term").alias("b")), topic).where("i < j")
@@ -111,7 +156,7 @@ def coherence_npmi(df: DataFrame, key: str, text: str, top: DataFrame, topic: st
 
 def coherence_cv(df: DataFrame, key: str, text: str, top: DataFrame, topic: str, size: int = 110, digits: int = 6) -> DataFrame:
     """(topic, c_v): mean cosine of each keyword's NPMI vector with the sum of all of the topic's."""
-    counts = pair_counts(*window_sets(df, key, text, top, size), key)
+    counts = pair_counts(df, key, text, top, size)
     k = top.select(topic, F.col("term").alias("a")).join(top.select(topic, F.col("term").alias("b")), topic)
     scored = counts.select("a", "b", F.coalesce(npmi(), F.lit(0.0)).alias("x"))
     rows = k.join(F.broadcast(scored), ["a", "b"], "left").na.fill(0.0, ["x"])
@@ -164,3 +209,20 @@ def rerank_mmr(top: DataFrame, vectors: DataFrame, topic: str, k: int = 5, balan
         return pd.DataFrame({topic: pdf[topic].iat[0], "rank": range(1, len(got) + 1), "term": pdf["term"].iloc[got].to_numpy()})
 
     return rows.groupBy(topic).applyInPandas(one, out)
+
+
+def topic_similarity(scored: DataFrame, topic: str, digits: int = 6) -> DataFrame:
+    """(inter_sim_ctfidf): mean cosine of pairs of topics by their weighted terms; 0 below two topics. Dots are summed over shared terms."""
+    w = scored.select(topic, "term", "score")
+    norm = w.groupBy(topic).agg(F.sqrt(F.sum(F.col("score") ** 2)).alias("norm"))
+    ids = norm.select(F.col(topic).alias("i"), F.col("norm").alias("ni"))
+    pairs = ids.join(F.broadcast(ids.select(F.col("i").alias("j"), F.col("ni").alias("nj"))), F.col("i") < F.col("j"))  # topics are few
+    a, b = w.select(F.col(topic).alias("i"), "term", F.col("score").alias("x")), w.select(F.col(topic).alias("j"), "term", F.col("score").alias("y"))
+    dots = a.join(b, "term").where("i < j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    sim = F.coalesce(ratio(F.col("dot"), F.col("ni") * F.col("nj")), F.lit(0.0))
+    return pairs.join(dots, ["i", "j"], "left").agg(F.round(F.coalesce(F.avg(sim), F.lit(0.0)), digits).alias("inter_sim_ctfidf"))
+
+
+def coherence_proxy(scored: DataFrame, topic: str, digits: int = 6) -> DataFrame:
+    """(proxy): the mean over topics of their highest weight."""
+    return scored.groupBy(topic).agg(F.max("score").alias("m")).agg(F.round(F.avg("m"), digits).alias("proxy"))

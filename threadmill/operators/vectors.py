@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from threadmill.functions.text import word_tokens
 from threadmill.operators.relational import first_by, rank_in_groups, ratio
+from threadmill.session import stage
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -57,37 +58,74 @@ def separation(df: DataFrame, topic: str, vec: str, redundant: float = 0.90, dig
     return got.select(F.round("intra", digits).alias("intra"), F.round("inter", digits).alias("inter"), F.round(F.col("intra") - F.col("inter"), digits).alias("separation"), "redundant_pairs")
 
 
-def nearest(queries: DataFrame, docs: DataFrame, qid: str, did: str, vec: str, k: int = 10, digits: int = 6) -> DataFrame:
+def nearest(queries: DataFrame, docs: DataFrame, qid: str, did: str, vec: str, k: int = 10, digits: int = 6, block_bytes: int = 64 << 20) -> DataFrame:
     """(qid, did, rank, sim): the k most similar documents of each query.
 
-    ``queries`` is a stated, small set whose size is checked; each task multiplies its documents
-    in blocks and keeps k for each query, so k rows a query and task are shuffled, not all pairs.
+    ``queries`` is a stated set. It meets the documents block by block, a block being so many queries that their
+    vectors take ``block_bytes`` at most; each task multiplies its documents with a block and keeps k for each query, so k rows a
+    query and task are shuffled, not all pairs. Several blocks are staged one after the other.
     """
-    q = queries.select(qid, vec).collect()
-    if len(q) > 100_000:
-        raise ValueError("too many queries to hold on each executor; split them")
-    ids = [r[qid] for r in q]
-    m = np.array([r[vec] for r in q], np.float64)
-    m = m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-12)
-    shared = docs.sparkSession.sparkContext.broadcast((ids, m))
     qt, dt = dict(queries.dtypes)[qid], dict(docs.dtypes)[did]
+    q = queries.where(F.col(vec).isNotNull()).select(qid, vec)
+    size = q.agg(F.count("*").alias("n"), F.max(F.size(vec)).alias("dim")).first()
+    blocks = max(1, -(-(size["n"] * (size["dim"] or 0) * 8) // block_bytes))
+    docs = docs.select(did, vec).where(F.col(vec).isNotNull())
+
+    def one(part: DataFrame) -> DataFrame:
+        rows = part.collect()  # at most ``block_bytes``, give or take what hashing deals
+        ids = [r[qid] for r in rows]
+        m = np.array([r[vec] for r in rows], np.float64).reshape(len(rows), -1)
+        m = m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-12)
+        shared = docs.sparkSession.sparkContext.broadcast((ids, m))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, m = shared.value
+            for b in batches:
+                if not len(b) or not ids:
+                    continue
+                x = np.stack(b[vec].to_numpy()).astype(np.float64)
+                x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-12
+                for lo in range(0, len(ids), 2_000):
+                    s = np.round(m[lo : lo + 2_000] @ x.T, digits)
+                    n = min(k, s.shape[1])
+                    kth = np.partition(s, s.shape[1] - n, axis=1)[:, -n]
+                    qi, di = np.nonzero(s >= kth[:, None])
+                    yield pd.DataFrame({"q": np.array(ids)[lo + qi], "d": b[did].to_numpy()[di], "sim": s[qi, di]})
+
+        got = docs.mapInPandas(run, f"q {qt}, d {dt}, sim double")
+        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "d"))
+        return got.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(qid), F.col("d").alias(did), F.col("rank").cast("int").alias("rank"), "sim")
+
+    if blocks == 1:
+        return one(q)
+    parts = [stage(one(q.where(F.pmod(F.xxhash64(qid), F.lit(blocks)) == i)), "near") for i in range(blocks)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def substring_relevance(retrieved: DataFrame, keywords: DataFrame, qid: str, text: str, rank: str = "rank", k: int = 10, first: int = 150, digits: int = 6) -> DataFrame:
+    """(qid, relevance): the mean over the ``k`` best of the share of a query's hand-made keywords that occur in the first ``first`` characters.
+
+    ``keywords`` has (qid, keywords), an array; null texts are empty.
+    """
+    got = retrieved.where(F.col(rank) <= k).join(F.broadcast(keywords.select(qid, "keywords")), qid)  # a stated set of queries
+    head = F.lower(F.substring(F.coalesce(F.col(text), F.lit("")), 1, first))
+    share = F.size(F.filter("keywords", lambda w: F.contains(head, w))) / F.size("keywords")
+    return got.groupBy(qid).agg(F.round(F.avg(share), digits).alias("relevance"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, m = shared.value
-        for b in batches:
-            if not len(b) or not ids:
-                continue
-            x = np.stack(b[vec].to_numpy()).astype(np.float64)
-            x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-12
-            s = np.round(m @ x.T, digits)
-            n = min(k, s.shape[1])
-            kth = np.sort(s, axis=1)[:, -n]
-            qi, di = np.nonzero(s >= kth[:, None])
-            yield pd.DataFrame({"q": np.array(ids)[qi], "d": b[did].to_numpy()[di], "sim": s[qi, di]})
 
-    got = docs.select(did, vec).where(F.col(vec).isNotNull()).mapInPandas(run, f"q {qt}, d {dt}, sim double")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "d"))
-    return got.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(qid), F.col("d").alias(did), F.col("rank").cast("int").alias("rank"), "sim")
+def graded_label(overlap: Column) -> Column:
+    """Three shared words or more are relevant, one or two partially."""
+    return F.when(overlap >= 3, "relevant").when(overlap >= 1, "partially_relevant").otherwise("not_relevant")
+
+
+def metric_summary(metrics: DataFrame, names: list[str], by: str | None = None, digits: int = 6) -> DataFrame:
+    """Mean and population deviation of metrics over queries, of all or by ``by``, in long form: (by, metric, mean, std)."""
+    long = metrics.unpivot([by] if by else [], names, "metric", "value")
+    keys = [by, "metric"] if by else ["metric"]
+    return long.groupBy(*keys).agg(F.round(F.avg("value"), digits).alias("mean"), F.round(F.stddev_pop("value"), digits).alias("std"))
 
 
 def keyword_relevance(queries: DataFrame, docs: DataFrame, qid: str, did: str, qtext: str, text: str, digits: int = 6) -> DataFrame:
@@ -131,3 +169,27 @@ def representative(df: DataFrame, topic: str, key: str, conf: str, content: Colu
     at = lambda pct: F.floor(F.lit(pct) * (F.col("i_of") - 1) / 100)
     got = pool.where((F.col("i") < 3) | (F.col("i") == at(45)) | (F.col("i") == at(65)))
     return got.select(topic, F.row_number().over(Window.partitionBy(topic).orderBy("i")).cast("int").alias("pick"), key)
+
+
+def embed(df: DataFrame, key: str, text: str, load: Callable[[], Callable[[list[str]], np.ndarray]], dim: int, batch: int = 64) -> DataFrame:
+    """(key, embedding): vectors of texts by a model that the caller brings.
+
+    ``load`` is called once in each task, where it may choose a device, and gives a function from a list of texts to a matrix.
+    Within an Arrow batch texts go to the model in order of length, so that a model's batch wastes little padding, and come back by key.
+    Null texts are empty. A model of another dimension than ``dim`` fails the job.
+    """
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for b in batches:
+            texts = b["__t"].tolist()
+            order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+            for lo in range(0, len(order), batch):
+                part = order[lo : lo + batch]
+                m = np.asarray(model([texts[i] for i in part]), np.float32)
+                if m.shape != (len(part), dim):
+                    raise ValueError(f"the model gave {m.shape}, wanted {(len(part), dim)}")
+                yield pd.DataFrame({key: b[key].to_numpy()[part], "embedding": list(m)})
+
+    return df.select(key, F.coalesce(F.col(text), F.lit("")).alias("__t")).mapInPandas(run, f"`{key}` {kind}, embedding array<float>")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -18,12 +19,14 @@ EXPERIMENT = T.StructType([T.StructField(c, t) for c, t in (("config_id", T.Stri
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, columns: list[str] | None = None) -> DataFrame:
     """CSV with a header, quoted fields over several lines, and a declared schema; pruned to ``columns``."""
-    df = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', enforceSchema=False)
+    df = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', lineSep="\n", enforceSchema=False)
     return df.select(*columns) if columns else df
 
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    """White space at the ends and line ends inside of values are kept; an empty text is read back as null, as CSV has it."""
+    w = (df.coalesce(1) if single else df).write.mode("overwrite")
+    w.csv(path, header=True, quote='"', escape='"', lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -58,18 +61,46 @@ def write_many(df: DataFrame, *paths: str) -> None:
         df.unpersist()
 
 
-def read_matrix(spark: SparkSession, path: str, ids: list, key: str = "doc_id", rows: int = 10_000) -> DataFrame:
-    """A matrix file of numpy, on the driver's disk, with the id of each row; the id is never the position."""
-    m = np.load(path, mmap_mode="r")
-    if len(ids) != len(m):
+def read_matrix(spark: SparkSession, path: str, ids: DataFrame | list, key: str = "doc_id", rows: int = 10_000) -> DataFrame:
+    """(key, embedding): a numpy matrix file in a folder that all executors share, with the id of each row; the id is never the position.
+
+    Only the file's head is read here; executors map the file and read ranges of ``rows`` rows. ``ids`` is a frame (row, key)
+    with the number of each row, or a list. Every row needs one id and ids must be distinct, else it is an error.
+    """
+    local = path.removeprefix("file://").removeprefix("file:")
+    m = np.load(local, mmap_mode="r")
+    n, kind = len(m), "array<double>" if m.dtype == np.float64 else "array<float>"
+    if isinstance(ids, list):
+        ids = spark.createDataFrame(pd.DataFrame({"row": range(len(ids)), key: ids})) if ids else spark.createDataFrame([], f"row long, {key} long")
+    ids = ids.select(F.col("row").cast("long").alias("row"), key)
+    seen = ids.agg(F.count("*"), F.countDistinct(key), F.countDistinct("row"), F.min("row"), F.max("row")).first()
+    if seen[0] != n or n and (seen[2] != n or seen[3] != 0 or seen[4] != n - 1):
         raise ValueError("as many ids as rows are needed")
-    if len(set(ids)) != len(ids):
+    if seen[1] != n:
         raise ValueError("ids must be distinct")
-    parts = [spark.createDataFrame(pd.DataFrame({key: list(ids[at : at + rows]), "embedding": list(np.asarray(m[at : at + rows], np.float32))})) for at in range(0, len(m), rows)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = np.load(local, mmap_mode="r")
+        for b in batches:
+            for at in b["at"]:
+                part = np.array(m[at : at + rows])
+                yield pd.DataFrame({"row": np.arange(at, at + len(part)), "embedding": list(part if part.dtype == np.float64 else part.astype(np.float32))})
+
+    ranges = spark.range(0, max(n, 1), rows).withColumnRenamed("id", "at").where(F.col("at") < n)
+    return ranges.repartition(max(1, min(-(-n // rows), 10_000))).mapInPandas(read, f"row long, embedding {kind}").join(ids, "row").select(key, "embedding")
+
+
+def head(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The first ``n`` rows in the order of ``key``, the same at every run."""
+    return df.orderBy(key).limit(n)
+
+
+def join_optional(df: DataFrame, other: DataFrame | None, key: str, column: str, default: str = "") -> DataFrame:
+    """``df`` with ``column`` of ``other`` if there is such a table with both columns, else with ``default`` in its place."""
+    if other is None or not {key, column} <= set(other.columns):
+        return df.withColumn(column, F.lit(default))
+    one = other.groupBy(key).agg(F.max(F.col(column).cast("string")).alias(column))
+    return df.drop(column).join(one, key, "left").withColumn(column, F.coalesce(column, F.lit(default)))
 
 
 def write_chunks(df: DataFrame, path: str, chunk: F.Column) -> None:
