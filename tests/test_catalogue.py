@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from threadmill.plans import reports  # noqa: F401 - adds its queries
+from threadmill.plans import reports, text_sql  # noqa: F401 - they add to the catalogue
 from threadmill.plans.catalogue import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"

@@ -37,7 +37,7 @@ def keyword_score(text: Column, rules: Sequence[tuple[float, str]]) -> Column:
     """Weights times occurrences of keywords between word boundaries. One expression a keyword keeps it in generated code."""
     total = F.lit(0.0)
     for weight, keyword in rules:
-        total = total + F.lit(float(weight)) * F.regexp_count(text, F.lit(rf"\b\Q{keyword}\E\b"))
+        total = total + F.lit(float(weight)) * F.regexp_count(text, F.lit(rf"(?U)\b\Q{keyword}\E\b"))
     return total
 
 
@@ -95,7 +95,7 @@ THEMES = {
 
 def theme_scores(text: Column, themes: Mapping[str, str] = THEMES) -> Column:
     """The theme whose words occur most; of equals the first. A struct (theme, hits)."""
-    got = [F.struct(F.regexp_count(text, F.lit(rf"\b({p})\b")).alias("hits"), F.lit(-i).alias("o"), F.lit(k).alias("theme")) for i, (k, p) in enumerate(themes.items())]
+    got = [F.struct(F.regexp_count(text, F.lit(rf"(?U)\b({p})\b")).alias("hits"), F.lit(-i).alias("o"), F.lit(k).alias("theme")) for i, (k, p) in enumerate(themes.items())]
     return F.greatest(*got)
 
 
