@@ -12,7 +12,7 @@ from threadmill.operators import relational as R
 from threadmill.operators import stats as S
 from threadmill.operators import topics as T
 from threadmill.operators import vectors as V
-from threadmill.session import table
+from threadmill.session import spread, table
 from threadmill.streaming import events as E
 
 QUERIES: dict = {}
@@ -37,6 +37,11 @@ def posts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "posts_merged_final_preprocessed")
 
 
+def one_each(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Distinct rows of (keys, text) before any work on the text; the text is told apart by its hash within a key, it is never a key itself."""
+    return spread(df.select(*keys, text)).groupBy(*keys, F.xxhash64(text).alias("__h")).agg(F.first(text).alias(text)).drop("__h")
+
+
 def category(c: str) -> F.Column:
     return F.replace(F.lower(F.trim(c)), F.lit(" "), F.lit("_"))
 
@@ -76,7 +81,7 @@ top AS (SELECT topic, CAST(row_number() OVER (PARTITION BY topic ORDER BY score
 
 
 def lang_terms(spark: SparkSession, d: str) -> DataFrame:
-    n = T.class_counts(docs(spark, d).select(F.col("lang").alias("topic"), "text"), "topic", "text")
+    n = T.class_counts(spread(docs(spark, d).select(F.col("lang").alias("topic"), "text")), "topic", "text")
     return T.top_terms(T.ctfidf(n, "topic"), "topic")
 
 
@@ -116,7 +121,7 @@ WITH w AS (SELECT row_number() OVER () AS i, list_filter({WORDS.format(t='text',
 g AS (SELECT i, unnest(ws) AS term FROM w UNION ALL SELECT i, unnest(list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1])) AS term FROM w WHERE len(ws) > 1)
 SELECT term, count(DISTINCT i) AS df, count(*) AS tf FROM g GROUP BY term HAVING df >= 15 AND df <= 0.45 * (SELECT count(*) FROM documents) ORDER BY tf DESC, term LIMIT 20000""")
 def _(spark, d):
-    return T.vocabulary(docs(spark, d), "doc_id", "text")
+    return T.vocabulary(spread(docs(spark, d).select("doc_id", "text")), "doc_id", "text")
 
 
 @query("bigram_counts_after_stopwords", f"""
@@ -192,7 +197,7 @@ sim AS (SELECT o.doc_id, w.topic, round(sum(tf * s) / (any_value(norm) * any_val
 best AS (SELECT * FROM sim QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, topic) = 1)
 SELECT x.doc_id, CAST(CASE WHEN sim >= 0.05 THEN best.topic ELSE -1 END AS INTEGER) AS new_topic, coalesce(sim, 0.0) AS sim FROM x LEFT JOIN best USING (doc_id) WHERE x.topic = -1""")
 def _(spark, d):
-    return T.reduce_outliers(labelled_docs(spark, d), "doc_id", "text", "topic")
+    return T.reduce_outliers(spread(labelled_docs(spark, d)), "doc_id", "text", "topic")
 
 
 @query("mmr_keywords")
@@ -614,14 +619,13 @@ def _(spark, d):
     return V.ir_metrics(ranked, relevance(spark, d), "q_id", "doc_id")
 
 
-@query("representative_docs", f"""WITH {CENT}, x AS (SELECT u.label, u.vec_id, round(list_dot_product(v, c), 4) AS conf, CASE WHEN len(list_filter(string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', ' ', 'g'), ' '), lambda w: w <> '')) >= 12 THEN 1 ELSE 0 END AS ok FROM u JOIN c ON u.label = c.label LEFT JOIN documents ON doc_id = vec_id),
+@query("representative_docs", f"""WITH {CENT}, x AS (SELECT u.label, u.vec_id, round(list_dot_product(v, c), 4) AS conf, CASE WHEN len(list_filter(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\\[deleted\\]|\\[removed\\]', ' ', 'g'), '[^A-Za-z\\x{{0900}}-\\x{{097f}} ]', ' ', 'g'), ' '), lambda w: w <> '')) >= 12 THEN 1 ELSE 0 END AS ok FROM u JOIN c ON u.label = c.label LEFT JOIN documents ON doc_id = vec_id),
 p AS (SELECT *, sum(ok) OVER (PARTITION BY label) >= 5 AS e FROM x), r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY conf DESC, vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM p WHERE NOT e OR ok = 1)
 SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY i) AS INTEGER) AS pick, vec_id FROM r WHERE i < 3 OR i = 45 * (n - 1) // 100 OR i = 65 * (n - 1) // 100""")
 def _(spark, d):
     c = V.confidence(vecs(spark, d), "label", "embedding", 4).select("label", "vec_id", "confidence")
-    x = c.join(docs(spark, d).select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left")
-    ok = F.size(F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", " "), " "), lambda w: w != "")) >= 12
-    return V.representative(x, "label", "vec_id", "confidence", ok)
+    x = c.join(docs(spark, d).select(F.col("doc_id").alias("vec_id"), X.is_contentful(F.col("text")).alias("ok")), "vec_id", "left")  # the texts stay where they are
+    return V.representative(x, "label", "vec_id", "confidence", F.coalesce("ok", F.lit(False)))
 
 
 @query("density_clusters")
@@ -673,12 +677,12 @@ def _(spark, d):
 
 @query("anonymize_text")
 def _(spark, d):
-    return posts(spark, d).select("id", X.anonymize(F.col("full_text"), None, True).alias("anonymous")).distinct()
+    return one_each(posts(spark, d), ["id"], "full_text").select("id", X.anonymize(F.col("full_text"), None, True).alias("anonymous")).distinct()
 
 
 @query("clean_markup")
 def _(spark, d):
-    return posts(spark, d).select("id", X.Cleaner(aggressive=True)(F.col("full_text")).alias("cleaned")).distinct()
+    return one_each(posts(spark, d), ["id"], "full_text").select("id", X.Cleaner(aggressive=True)(F.col("full_text")).alias("cleaned"))
 
 
 @query("clean_links_count", """
@@ -736,14 +740,14 @@ def _(spark, d):
 
 @query("rule_classifier_labels")
 def _(spark, d):
-    t = table(spark, d, "comments_taxonomy").select("comment_id", "clean_body", "author", "distress_type", "score").distinct()
+    t = one_each(table(spark, d, "comments_taxonomy"), ["comment_id", "author", "distress_type", "score"], "clean_body")
     got = C.classify(t, "clean_body", "author", "distress_type", "score")
     return got.select("comment_id", *[f"score_{c}" for c in C.CATEGORIES], "primary", "secondary", F.col("confidence_").alias("confidence"))
 
 
 @query("rule_classifier_distribution")
 def _(spark, d):
-    t = table(spark, d, "comments_taxonomy").select("comment_id", "clean_body", "author", "distress_type", "score").distinct()
+    t = one_each(table(spark, d, "comments_taxonomy"), ["comment_id", "author", "distress_type", "score"], "clean_body")
     return R.shares(C.classify(t, "clean_body", "author", "distress_type", "score"), "primary")
 
 

@@ -6,7 +6,7 @@ import re
 
 from threadmill.functions import text as X
 from threadmill.operators import classify as C
-from threadmill.plans.catalogue import LATEST, QUERIES, REPLIES, SQL, TOPIC1, docs, posts, table
+from threadmill.plans.catalogue import LATEST, QUERIES, REPLIES, SQL, TOPIC1, docs, one_each, posts, table
 
 SPACE, NO_SPACE = r"[\s\x0B\x85\p{Z}]", r"[^\s\x0B\x85\p{Z}]"
 WORD = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}"
@@ -189,7 +189,7 @@ SQL["rule_classifier_scores"] = f"WITH c AS ({LABELS}) SELECT DISTINCT comment_i
 
 
 def _scores(spark, d):
-    t = table(spark, d, "comments_taxonomy").select("comment_id", "clean_body", "author", "distress_type", "score").distinct()
+    t = one_each(table(spark, d, "comments_taxonomy"), ["comment_id", "author", "distress_type", "score"], "clean_body")
     return C.classify(t, "clean_body", "author", "distress_type", "score").select("comment_id", *[f"score_{c}" for c in C.CATEGORIES]).distinct()
 
 
