@@ -94,6 +94,24 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
+def stage_by(df: DataFrame, key: str, name: str = "stage") -> DataFrame:
+    """``df`` staged in buckets of ``key``, sorted within, so that joins and groups by it need neither a shuffle nor a sort of this table.
+
+    There are as many buckets as shuffle partitions. The table is in the session's catalog until ``unstage``.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    own = f"threadmill_{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(own)
+    if not _staged:
+        atexit.register(_drop_staged)
+    _staged[path] = spark
+    out = spark.table(own)
+    out._threadmill_path, out._threadmill_table = path, own
+    return out
+
+
 def unstage(*frames: DataFrame | None) -> None:
     """Delete tables that ``stage`` gave back and that nothing will read again, so that a loop holds the room of one round.
 
@@ -104,6 +122,8 @@ def unstage(*frames: DataFrame | None) -> None:
         path = getattr(f, "_threadmill_path", None)
         spark = _staged.pop(path, None)
         if spark is not None:
+            if hasattr(f, "_threadmill_table"):
+                spark.sql(f"DROP TABLE IF EXISTS {f._threadmill_table}")
             _delete(spark, path)
     spark = next((f.sparkSession for f in frames if f is not None), None)
     if spark is not None:
