@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from threadmill.llm.neardup import plain_rewriter
 from threadmill.llm.records import has_content
-from threadmill.session import spread, stage, table, unstage
+from threadmill.session import spread, stage, stage_by, table, unstage
 
 DIM = 128
 #: Neighbours of a record.
@@ -342,7 +342,7 @@ def communities(edges: DataFrame, gamma: float = 1.0, few: float = 0.01, slow: f
     """
     spark, member, first, below = edges.sparkSession, None, None, None
     for level in range(most):
-        edges = edges if level == 0 and hasattr(edges, "_threadmill_path") else stage(edges, "p1e")
+        edges = edges if level == 0 and hasattr(edges, "_threadmill_path") else stage_by(edges, "v", "p1e")
         if first and below is not first[0]:
             unstage(below)
         below = edges
@@ -405,7 +405,7 @@ def cluster(df: DataFrame, weights: dict[str, float], only: DataFrame | None = N
     member = stage(got.select("id", F.col("node").alias("hash")).join(nodes.select("hash", "node"), "hash").select("id", "node").distinct(), "p1i")
     unstage(got)
     graph = neighbour_graph(nodes.select("node", "vec"), nodes.count())
-    edges = stage(undirected(graph), "p1u")
+    edges = stage_by(undirected(graph), "v", "p1u")  # rounds of moves meet it by v
     unstage(graph, nodes)
     return member, communities(edges), edges
 
