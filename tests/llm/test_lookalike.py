@@ -43,3 +43,10 @@ def test_pairs(spark):
     assert L.look_alike_pairs(df.limit(0)).count() == 0
     out = {r["rec_id"]: r["canonical"] for r in L.canonical(df, L.learn(df)).collect()}
     assert out["5"] is None and out["7"] == "" and out["2"] == LATIN
+
+
+def test_members_are_one_row_a_record(spark):
+    rows = [("post", "a", "plain text"), ("post", "b", "pl\u0430in text"), ("post", "b", "pl\u0430in text"), ("post", "c", "other"), ("post", "d", None), ("post", None, "x"), ("comment", "a", "plain text")]
+    df = spark.createDataFrame(rows, "src string, rec_id string, text string")
+    got = {(r["src"], r["rec_id"]): (r["class_id"], r["n_links"]) for r in L.memberships(df).collect()}
+    assert len(got) == 4 and got["post", "a"][0] == got["post", "b"][0] and got["post", "a"][1] == 1 and got["post", "c"][1] == 0 and got["comment", "a"][1] == 0

@@ -45,6 +45,22 @@ def test_packs_all_and_reduction_is_sound(items, c):
     assert sum(k for k, _ in packed) <= fewest(items, c) + 1
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=40), st.integers(20, 40))
+def test_best_fit_is_that_of_one_item_at_a_time(items, c):
+    rooms = []
+    for x in sorted(items, reverse=True):
+        fits = [r for r in rooms if r >= x]
+        if fits:
+            rooms.remove(min(fits))
+        rooms.append((min(fits) if fits else c) - x)
+    packed = P.best_fit(P.Sizes(dict(Counter(items))), c)
+    got = Counter()
+    for k, f in packed:
+        got[c - sum(s * n for s, n in f.items())] += k
+    assert got == Counter(rooms)
+
+
 def test_best_filling_is_best():
     s = P.Sizes({7: 1, 5: 2, 4: 1, 3: 1})
     got = P.best_filling(s, 7, 16)
@@ -54,8 +70,9 @@ def test_best_filling_is_best():
 
 
 def test_many_items_are_quick():
-    packed = P.fillings({s: 10**9 + s for s in range(1, 256)}, 256)
-    assert len(packed) < 2_000
+    for rest in ("best_fit", "fill_up"):
+        packed = P.fillings({s: 10**9 + s for s in range(1, 256)}, 256, rest)
+        assert len(packed) < 2_000
 
 
 def test_frame(spark):

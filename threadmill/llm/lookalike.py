@@ -24,9 +24,11 @@ from threadmill.session import spread, stage
 
 # Letters of other scripts that are drawn like a Latin letter.
 LETTERS = {
-    "Cyrillic": ("аеорсухіѕјһԁԛԝӏАВЕКМНОРСТХУІЅЈ", "aeopcyxisjhdqwlABEKMHOPCTXYISJ"),
-    "Greek": ("οΑΒΕΖΗΙΚΜΝΟΡΤΥΧν", "oABEZHIKMNOPTYXv"),
-    "Armenian": ("օՕ", "oO"),
+    "Cyrillic": ("аеорсухіѕјһԁԛԝӏАВЕКМНОРСТХУІЅЈԌԚԜҮ", "aeopcyxisjhdqwlABEKMHOPCTXYISJGQWY"),
+    "Greek": ("οΑΒΕΖΗΙΚΜΝΟΡΤΥΧνϳϜ", "oABEZHIKMNOPTYXvjF"),
+    "Armenian": ("օՕսհցՍԼ", "oOuhgUL"),
+    "Cherokee": ("ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏃᏎᏔᏚᏟᏞᏢᏦᏏ", "DRTiAJEWMHYGZ4WSCLPKb"),
+    "Latin": ("ɑɡ", "ag"),
 }
 # Hyphens and minus signs drawn like the plain one.
 HYPHENS = "\u2010\u2011\u2212"
@@ -208,6 +210,29 @@ def look_alike_pairs(df: DataFrame, key: str = "rec_id", group: str = "src", tex
     return pairs.join(left, ["src", "ra"]).join(right, ["src", "rb"]).where("x <> y").select("src", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
+def memberships(df: DataFrame, key: str = "rec_id", group: str = "src", text: str = "text") -> DataFrame:
+    """(src, rec_id, class_id, n_links): the class of texts that look the same, and the number of other strings in it.
+
+    The compact form of ``look_alike_pairs``: one row for each record with a text, however large its class; repeated rows of one key and string count once.
+    """
+    df = spread(df.select(F.col(group).alias("src"), F.col(key).alias("rec_id"), F.col(text).alias("text")).where(F.col(key).isNotNull() & F.col(text).isNotNull()))
+    shared = df.sparkSession.sparkContext.broadcast(learn(df))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rw = Rewriter(shared.value)
+        for b in batches:
+            yield pd.DataFrame({"src": b["src"], "rec_id": b["rec_id"], "class_id": [xxhash.xxh64_intdigest(rw(t)) - 2**63 for t in b["text"]], "raw": [xxhash.xxh64_intdigest(t) - 2**63 for t in b["text"]]})
+
+    keyed = stage(df.mapInPandas(run, "src string, rec_id string, class_id long, raw long"), "p2c")
+    size = keyed.groupBy("src", "class_id").agg((F.countDistinct("raw") - 1).alias("n_links"))
+    mixed = size.where("n_links > 0")  # few, so that a class of a third of all rows is in no join unless it is mixed
+    return keyed.select("src", "rec_id", "class_id").distinct().join(mixed, ["src", "class_id"], "left").select("src", "rec_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memberships(records(spark, sf_dir))
+
+
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alike_pairs(records(spark, sf_dir))
 
@@ -225,4 +250,4 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, v, n.get(k, 0)) for k, v in sorted(to.items()) if k in n], "symbol string, becomes string, n long")
 
 
-QUERIES = {"p2_found": found, "p2_texts": texts, "p2_classes": classes}
+QUERIES = {"p2_found": found, "p2_texts": texts, "p2_classes": classes, "p2_members": members}

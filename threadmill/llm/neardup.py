@@ -137,7 +137,8 @@ def similar_classes(sketched: DataFrame, least: float, k: int, slack: float = 0.
     first = sketched.where(F.col("keys").isNotNull())
     rows = first.select("cls", F.explode("keys").alias("k")).repartition("k").distinct()
     crowds = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(crowds, "k").withColumn("parts", F.ceil(F.col("n") / crowd).cast("int")).drop("n")
+    # keys of one class are the most; what is left is small and is read twice
+    rows = stage(rows.join(crowds, "k").withColumn("parts", F.ceil(F.col("n") / crowd).cast("int")).drop("n"), "p5k")
     left = rows.select("k", F.col("cls").alias("a"), F.pmod(F.hash("cls"), "parts").alias("salt"))
     right = rows.select("k", F.col("cls").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
     pairs = left.join(right, ["k", "salt"]).where("a < b").select("a", "b").distinct()

@@ -2,9 +2,9 @@
 
 All that decides is how many documents have each size, so the packing is computed on
 that histogram, which the capacity bounds: Martello and Toth's dominance rules fix
-small sets that no other choice betters. The remainder is not packed by best fit: each container
-in turn takes the largest item left and the items that fill its room best, found exactly by subset sums,
-as best fit never looks ahead at what a container could still take. The result
+small sets that no other choice betters, and best fit packs the remainder, containers that are alike
+taken together. As an option, each container in turn takes the largest item left and the items that fill
+its room best, found by subset sums. The result
 is a list of fillings, each used many times; documents of one size are numbered in
 parallel and the numbers say which container each goes to.
 """
@@ -147,8 +147,8 @@ def best_filling(sizes: Sizes, j: int, capacity: int) -> dict[int, int]:
     return dict(got)
 
 
-def best_fit(sizes: Sizes, capacity: int) -> list[Filling]:
-    """Container by container, the fullest one around the largest item left; not the classical best fit."""
+def fill_up(sizes: Sizes, capacity: int) -> list[Filling]:
+    """Container by container, the fullest one around the largest item left."""
     out: list[Filling] = []
     while sizes.order:
         got = best_filling(sizes, sizes.order[-1], capacity)
@@ -158,12 +158,48 @@ def best_fit(sizes: Sizes, capacity: int) -> list[Filling]:
     return out
 
 
-def fillings(counts: dict[int, int], capacity: int) -> list[Filling]:
-    """A packing of ``counts`` (size to number) into containers of ``capacity``."""
+def best_fit(sizes: Sizes, capacity: int) -> list[Filling]:
+    """Items from the largest on, each into the fullest open container that takes it, a new one if none does.
+
+    Containers that are alike are one entry with their number, so the steps follow the kinds of containers and not the items.
+    """
+    rooms: dict[int, list[Filling]] = {}  # open containers by the room they have left
+
+    def put(room: int, often: int, filling: dict[int, int]) -> None:
+        rooms.setdefault(room, []).append((often, filling))
+
+    for s in sorted(sizes.order, reverse=True):
+        left = sizes.n[s]
+        for room in sorted(r for r in rooms if r >= s):
+            for often, filling in rooms.pop(room):
+                # a container that took an item is the fullest one still open to the next, so it is filled up before another
+                each = room // s
+                full = min(often, left // each)
+                if full:
+                    put(room - each * s, full, filling | {s: each})
+                    left -= full * each
+                    often -= full
+                if often and left:
+                    put(room - left * s, 1, filling | {s: left})
+                    left, often = 0, often - 1
+                if often:
+                    put(room, often, filling)
+        each = capacity // s
+        if left // each:
+            put(capacity - each * s, left // each, {s: each})
+        if left % each:
+            put(capacity - (left % each) * s, 1, {s: left % each})
+    sizes.n.clear()
+    sizes.order.clear()
+    return [f for room in sorted(rooms) for f in rooms[room]]
+
+
+def fillings(counts: dict[int, int], capacity: int, rest: str = "best_fit") -> list[Filling]:
+    """A packing of ``counts`` (size to number) into containers of ``capacity``; ``rest`` says how the remainder is packed, 'best_fit' or 'fill_up'."""
     if counts and max(counts) > capacity:
         raise ValueError("an item exceeds the capacity; split it first")
     sizes = Sizes(counts)
-    return reduce(sizes, capacity) + best_fit(sizes, capacity)
+    return reduce(sizes, capacity) + {"best_fit": best_fit, "fill_up": fill_up}[rest](sizes, capacity)
 
 
 def ranges(packed: list[Filling]) -> tuple[dict[int, list[tuple[int, int, int]]], int]:
@@ -193,14 +229,12 @@ def pieces(sized: DataFrame, specs: list, key: str) -> DataFrame:
 def numbered(items: DataFrame, by: list[str], order: list[str], largest: int, most: int = 200_000) -> DataFrame:
     """Numbers the rows of each group from 0 without putting a group into one task.
 
-    Groups are dealt over buckets; the buckets' sizes give each bucket its first number.
+    Groups are dealt over buckets, eight at least; the buckets' sizes give each bucket its first number.
     """
-    buckets = max(1, math.ceil(largest / most))
+    buckets = max(8, math.ceil(largest / most))
     df = items.withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     inside = Window.partitionBy(*by, "__b").orderBy(*order)
     df = df.withColumn("__i", F.row_number().over(inside) - 1)
-    if buckets == 1:
-        return df.withColumn("number", F.col("__i").cast("long")).drop("__b", "__i")
     sizes = items.withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(buckets))).groupBy(*by, "__b").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
