@@ -89,7 +89,7 @@ def test_nearest_exact(spark):
 
 
 def test_classifier(spark):
-    rows = [("a", "idiot loser"), ("b", "nothing here at all"), ("c", "nothing here at all?"), ("d", None), ("e", "bro lol"), ("f", "keep going, you idiot"), ("g", "x"), ("h", "I am a bot and i hear you")]
+    rows = [("a", "idiot loser"), ("b", "nothing here at all"), ("c", "nothing here at all?"), ("d", None), ("e", " LOL "), ("f", "keep going, you idiot"), ("g", "x"), ("i", "same here"), ("j", "please report it using the form"), ("k", "rofl"), ("h", "I am a bot and i hear you")]
     df = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], "id string, t string, author string, parent string, score int")
     got = {r["id"]: r for r in C.classify(df, "t", "author", "parent", "score").collect()}
     assert (got["a"]["primary"], got["a"]["confidence_"]) == ("neutral_discussion", 1.0)
@@ -97,6 +97,7 @@ def test_classifier(spark):
     assert (got["c"]["primary"], got["c"]["confidence_"]) == ("neutral_discussion", 0.99)
     assert got["d"]["confidence_"] == 1.0 and got["e"]["primary"] == "humor_meme_coping" and got["g"]["primary"] == "neutral_discussion"
     assert (got["f"]["primary"], got["f"]["secondary"]) == ("toxic_abusive", "encouragement_motivation") and got["h"]["confidence_"] == 1.0
+    assert got["i"]["primary"] == "neutral_discussion" and got["j"]["confidence_"] == 1.0 and got["k"]["primary"] == "humor_meme_coping"
 
 
 def test_coherence_limits(spark):
@@ -147,3 +148,79 @@ def test_ranks_of_a_hot_group(spark):
         own = sorted((x for x in rows if x[0] == g), key=lambda x: (-x[1], x[2]))
         assert [got[k] for _, _, k in own] == [(i, len(own)) for i in range(len(own))]
     assert R.rank_in_groups(df.limit(0), ["g"], [("v", True)], "i").count() == 0
+
+
+def brute_neighbours(x, k):
+    import numpy as np
+
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    return np.argsort(d, axis=1, kind="stable")[:, :k]
+
+
+@pytest.mark.parametrize(("n", "cells", "probes", "least"), [(500, 8, 8, 1.0), (3_000, None, 12, 0.9)])
+def test_knn_against_brute_force(spark, n, cells, probes, least):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (20, 8))[rng.integers(0, 20, n)] + rng.normal(0, 0.3, (n, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(-1, None)], "i long, e array<double>")
+    want = brute_neighbours(x, 5)
+    got = {}
+    for r in K.knn(df, "i", "e", 5, cells, probes).collect():
+        got.setdefault(r["u"], set()).add(r["v"])
+    recall = np.mean([len(got[i] & set(want[i].tolist())) / 5 for i in range(n)])
+    assert recall >= least and K.knn(df.limit(0), "i", "e", 5).count() == 0
+
+
+def test_density_of_copies(spark):
+    rows = [(i, [0.0, 0.0]) for i in range(60)] + [(100 + i, [9.0 + i % 5 * 0.01, 9.0]) for i in range(40)] + [(999, [50.0, -50.0]), (1000, None)]
+    df = spark.createDataFrame(rows, "i long, e array<double>")
+    got = {r["i"]: r["cluster"] for r in K.density_clusters(df, "i", "e", 3, 10, 0.8).collect()}
+    assert len({got[i] for i in range(60)}) == 1 and got[0] != -1 and got[1000] == -1 and len(got) == 102
+
+
+def test_pair_counts_by_hand(spark):
+    df = spark.createDataFrame([(1, "a b c a"), (2, "a b"), (3, None), (4, ""), (None, "a b")], "id int, t string")
+    top = spark.createDataFrame([("a",), ("b",), ("zz",)], "term string")
+    got = {(r["a"], r["b"]): r["n_ab"] for r in T.pair_counts(df, "id", "t", top, 2, 1).collect()}
+    assert got == {("a", "a"): 3, ("b", "b"): 3, ("a", "b"): 2, ("b", "a"): 2}  # windows ab bc ca, and ab
+    assert T.pair_counts(df, "id", "t", top, 2, 1).first()["n_windows"] == 4
+    assert T.pair_counts(df.limit(0), "id", "t", top, 2, 1).count() == 0
+
+
+def test_known_keywords(spark):
+    top = spark.createDataFrame([(0, 1, "a"), (0, 2, "b"), (0, 3, "c"), (1, 1, "a"), (1, 2, "x")], "topic int, rank int, term string")
+    words = spark.createDataFrame([("a",), ("b",), ("c",)], "term string")
+    assert T.known_keywords(top, words, "topic", 3, 2).count() == 0
+    assert T.known_keywords(top, words, "topic", 3, 1).count() == 3
+
+
+def test_nearest_in_blocks(spark):
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 3) + 1]) for i in range(40)] + [(99, None)], "i int, e array<double>")
+    q = v.where("i % 10 = 0").withColumnRenamed("i", "q")
+    one = sorted(map(tuple, V.nearest(q, v, "q", "i", "e", 3).collect()))
+    many = sorted(map(tuple, V.nearest(q, v, "q", "i", "e", 3, block_bytes=32).collect()))
+    assert one == many and len(one) == 12 and V.nearest(q.limit(0), v, "q", "i", "e", 3).count() == 0
+
+
+def test_embed_by_a_given_model(spark):
+    import numpy as np
+
+    df = spark.createDataFrame([(1, "abc"), (2, None), (3, "z" * 50)], "i int, t string")
+    got = {r["i"]: list(r["embedding"]) for r in V.embed(df, "i", "t", lambda: lambda ts: np.array([[len(t), 1.0] for t in ts]), 2, 2).collect()}
+    assert got == {1: [3.0, 1.0], 2: [0.0, 1.0], 3: [50.0, 1.0]}
+    with pytest.raises(Exception, match="the model gave"):
+        V.embed(df, "i", "t", lambda: lambda ts: np.zeros((len(ts), 3)), 2).collect()
+
+
+def test_chi_square_tail(spark):
+    df = spark.createDataFrame([(3.841459, 1.0), (18.307038, 10.0), (0.0, 4.0), (None, 1.0), (200.0, 5.0)], "x double, k double")
+    p = [r[0] for r in df.select(S.chi_square_tail(F.col("x"), F.col("k"))).collect()]
+    assert math.isclose(p[0], 0.05, abs_tol=1e-6) and math.isclose(p[1], 0.05, abs_tol=1e-6) and p[2] == 1.0 and p[3] is None and p[4] < 1e-30
+
+
+def test_length_batches(spark):
+    df = spark.createDataFrame([(i, i * 7 % 10) for i in range(10)], "i int, n int")
+    got = {r["i"]: r["batch"] for r in R.length_batches(df, "i", "n", 4).collect()}
+    assert got[0] == 0 and got[7] == 2 and sorted(got.values()) == [0] * 4 + [1] * 4 + [2] * 2

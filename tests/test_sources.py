@@ -56,3 +56,25 @@ def test_available_now(spark, tmp_path):
     spark.range(10, 12).write.mode("append").parquet(src)
     E.run_available(spark, src, out, ck, lambda df: df.where("id > 1"))
     assert spark.read.parquet(out).count() == 5
+
+
+def test_matrix_by_a_frame_of_ids_and_optional_join(spark, tmp_path):
+    m = np.arange(50, dtype=np.float64).reshape(25, 2)
+    np.save(tmp_path / "m.npy", m)
+    ids = spark.range(25).select(F.col("id").alias("row"), (100 - F.col("id")).alias("doc_id"))
+    got = {r["doc_id"]: list(r["embedding"]) for r in io.read_matrix(spark, str(tmp_path / "m.npy"), ids, rows=4).collect()}
+    assert got[100] == [0, 1] and got[76] == [48, 49] and len(got) == 25
+    with pytest.raises(ValueError):
+        io.read_matrix(spark, str(tmp_path / "m.npy"), [1] * 25)
+    df = spark.createDataFrame([("a",), ("b",)], "id string")
+    other = spark.createDataFrame([("a", 3), ("a", 2)], "id string, topic_id int")
+    assert {r["id"]: r["topic_id"] for r in io.join_optional(df, other, "id", "topic_id").collect()} == {"a": "3", "b": ""}
+    assert {r["topic_id"] for r in io.join_optional(df, None, "id", "topic_id").collect()} == {""}
+    assert [r["id"] for r in io.head(df, "id", 1).collect()] == ["a"]
+
+
+def test_csv_keeps_white_space(spark, tmp_path):
+    rows = [(1, "  x \r\n y  "), (2, None)]
+    df = spark.createDataFrame(rows, "i int, t string")
+    io.write_csv(df, str(tmp_path / "w"))
+    assert sorted(map(tuple, io.read_csv(spark, str(tmp_path / "w"), df.schema).collect())) == rows

@@ -74,7 +74,7 @@ def nearest(queries: DataFrame, docs: DataFrame, qid: str, did: str, vec: str, k
     def one(part: DataFrame) -> DataFrame:
         rows = part.collect()  # at most ``block_bytes``, give or take what hashing deals
         ids = [r[qid] for r in rows]
-        m = np.array([r[vec] for r in rows], np.float64).reshape(len(rows), -1)
+        m = np.array([r[vec] for r in rows], np.float64).reshape(len(rows), size["dim"] or 0)
         m = m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-12)
         shared = docs.sparkSession.sparkContext.broadcast((ids, m))
 

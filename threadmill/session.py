@@ -94,16 +94,16 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
-def stage_by(df: DataFrame, key: str, name: str = "stage") -> DataFrame:
+def stage_by(df: DataFrame, key: str, name: str = "stage", placed: bool = False) -> DataFrame:
     """``df`` staged in buckets of ``key``, sorted within, so that joins and groups by it need neither a shuffle nor a sort of this table.
 
-    There are as many buckets as shuffle partitions. The table is in the session's catalog until ``unstage``.
+    There are as many buckets as shuffle partitions; ``placed`` says that ``df`` is in such partitions already. The table is in the session's catalog until ``unstage``.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     own = f"threadmill_{name}_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(own)
+    (df if placed else df.repartition(n, key)).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(own)
     if not _staged:
         atexit.register(_drop_staged)
     _staged[path] = spark
