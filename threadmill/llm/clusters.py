@@ -364,7 +364,7 @@ def communities(edges: DataFrame, gamma: float = 1.0, few: float = 0.01, slow: f
         if done:
             return member
         up, vp = step.withColumnRenamed("node", "u").withColumnRenamed("community", "cu"), step.withColumnRenamed("node", "v").withColumnRenamed("community", "cv")
-        edges = edges.join(up, "u").join(vp, "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w"))
+        edges = edges.join(vp, "v").join(up, "u").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w"))
     raise RuntimeError(f"communities still merge after {most} levels")
 
 
@@ -380,7 +380,8 @@ def onward(member: DataFrame | None, step: DataFrame) -> DataFrame:
 def undirected(graph: DataFrame) -> DataFrame:
     """The graph in both directions, each edge once, weighted by the square of the similarity."""
     both = graph.select("u", "v", "s").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "s"))
-    return both.groupBy("u", "v").agg(F.max("s").alias("s")).select("u", "v", (F.col("s") * F.col("s")).cast("float").alias("w"))
+    # one shuffle serves the groups and, in as many partitions as buckets, their staging by v
+    return both.repartition(int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions")), "v").groupBy("u", "v").agg(F.max("s").alias("s")).select("u", "v", (F.col("s") * F.col("s")).cast("float").alias("w"))
 
 
 def topic_posts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -405,7 +406,7 @@ def cluster(df: DataFrame, weights: dict[str, float], only: DataFrame | None = N
     member = stage(got.select("id", F.col("node").alias("hash")).join(nodes.select("hash", "node"), "hash").select("id", "node").distinct(), "p1i")
     unstage(got)
     graph = neighbour_graph(nodes.select("node", "vec"), nodes.count())
-    edges = stage_by(undirected(graph), "v", "p1u")  # rounds of moves meet it by v
+    edges = stage_by(undirected(graph), "v", "p1u", placed=True)  # rounds of moves meet it by v
     unstage(graph, nodes)
     return member, communities(edges), edges
 
