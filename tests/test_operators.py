@@ -224,3 +224,17 @@ def test_length_batches(spark):
     df = spark.createDataFrame([(i, i * 7 % 10) for i in range(10)], "i int, n int")
     got = {r["i"]: r["batch"] for r in R.length_batches(df, "i", "n", 4).collect()}
     assert got[0] == 0 and got[7] == 2 and sorted(got.values()) == [0] * 4 + [1] * 4 + [2] * 2
+
+
+def test_bootstrap_draws_with_replacement(spark):
+    import numpy as np
+
+    x = np.r_[np.zeros(300), np.ones(700)]
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+    r = S.bootstrap_ci(df, "v", 400, block=90).first()
+    rng = np.random.default_rng(1)
+    lo, hi = np.percentile([x[rng.integers(0, 1000, 1000)].mean() for _ in range(4_000)], [2.5, 97.5])
+    assert r["mean"] == 0.7 and abs(r["low"] - lo) < 0.006 and abs(r["high"] - hi) < 0.006
+    same = S.bootstrap_ci(spark.createDataFrame([(2.0,)] * 50, "v double"), "v", 100, block=7).first()
+    assert (same["mean"], same["low"], same["high"]) == (2.0, 2.0, 2.0)  # every resample has as many draws as there are rows
+    assert S.bootstrap_ci(df.limit(0), "v", 10).first()["low"] is None

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadmill.operators.relational import counts, crosstab, ratio
+from threadmill.session import stage
 
 
 def two_columns(df: DataFrame, a: str, b: str) -> tuple[DataFrame, str, str]:
@@ -172,25 +172,27 @@ def size_spread(df: DataFrame, by: str, digits: int = 6) -> DataFrame:
     }.items()])
 
 
-def bootstrap_ci(df: DataFrame, value: str, times: int = 1000, seed: int = 42, digits: int = 6) -> DataFrame:
-    """(mean, low, high): 95 % interval of the mean by the Poisson bootstrap.
+def bootstrap_ci(df: DataFrame, value: str, times: int = 1000, seed: int = 42, digits: int = 6, block: int = 100_000) -> DataFrame:
+    """(mean, low, high): 95 % interval of the mean by resampling with replacement; nulls are left out, without rows all are null.
 
-    Every row gets a Poisson weight for each resample; a task adds its rows up to ``times`` sums,
-    so what is shuffled does not grow with the rows.
+    Rows lie in blocks of about ``block``, ten thousand blocks at most. How many draws of each resample fall on each block is
+    multinomial, as are the draws within a block, so together they are draws from all rows. A block gives ``times`` sums.
     """
-
-    def run(batches):
-        total, weight = np.zeros(times), np.zeros(times)
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        for b in batches:
-            x = b["v"].to_numpy(float)
-            for at in range(0, len(x), 1000):
-                w = rng.poisson(1.0, (len(x[at : at + 1000]), times))
-                total += x[at : at + 1000] @ w
-                weight += w.sum(0)
-        yield pd.DataFrame({"i": np.arange(times), "s": total, "w": weight})
-
-    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    means = rows.mapInPandas(run, "i int, s double, w double").groupBy("i").agg(ratio(F.sum("s"), F.sum("w")).alias("m"))
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.monotonically_increasing_id().alias("i"))
+    rows = stage(rows, "boot")
+    n = rows.count()
+    blocks = max(1, min(10_000, -(-n // block)))
+    rows = rows.select("v", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int").alias("p"))
+    sizes = np.zeros(blocks, np.int64)
+    for r in rows.groupBy("p").count().collect():  # ten thousand rows at most
+        sizes[r["p"]] = r["count"]
+
+    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, p = pdf["v"].to_numpy(float), int(pdf["p"].iat[0])
+        share = np.random.default_rng(seed).multinomial(n, sizes / n, times)[:, p]  # the same in every task
+        rng = np.random.default_rng([seed, p])
+        return pd.DataFrame({"i": range(times), "s": [x[rng.integers(0, len(x), k)].sum() for k in share]})
+
+    means = rows.groupBy("p").applyInPandas(resample, "i int, s double").groupBy("i").agg((F.sum("s") / F.lit(float(max(1, n)))).alias("m"))
     ends = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    return rows.agg(F.avg("v").alias("mean")).crossJoin(ends).select(*[F.round(c, digits).alias(c) for c in ("mean", "low", "high")])
+    return rows.agg(F.avg("v").alias("mean")).crossJoin(ends).select(*[F.round(c, digits).alias(c) for c in ("mean", "low", "high")])  # one row each

@@ -779,12 +779,12 @@ def _(spark, d):
     return g.select(F.col("topic_id").cast("double").alias("topic_id"), "topic_label", "documents", F.round(100.0 * F.col("documents") / F.col("total"), 4).alias("percentage"), "top_subreddit")
 
 
-@query("topic_quality_review", f"""WITH {CTFIDF}, h AS (SELECT topic, CAST(count(*) FILTER (term IN {inlist(X.STOPWORDS)}) AS BIGINT) AS stop_hits FROM top GROUP BY topic), s AS (SELECT lang AS topic, count(*) AS size FROM documents WHERE lang IS NOT NULL GROUP BY 1)
-SELECT topic, stop_hits, size, CASE WHEN stop_hits >= 3 THEN 'REMOVE' WHEN size < 30 THEN 'MERGE' ELSE 'KEEP' END AS action, CASE WHEN 10 - stop_hits <= 2 THEN 'mixed' ELSE 'coherent' END AS quality FROM h JOIN s USING (topic)""")
+@query("topic_quality_review", f"""WITH {CTFIDF}, h AS (SELECT topic, CAST(count(*) FILTER (term IN {inlist(X.STOPWORDS)}) AS BIGINT) AS stop_hits, bool_or(regexp_matches(term, 'format=png|x200b|urn%3a|[a-f0-9]{{40,}}|redd\\.it')) AS bad FROM top GROUP BY topic), s AS (SELECT lang AS topic, count(*) AS size FROM documents WHERE lang IS NOT NULL GROUP BY 1)
+SELECT topic, stop_hits, size, CASE WHEN stop_hits >= 3 THEN 'REMOVE' WHEN size < 30 THEN 'MERGE' ELSE 'KEEP' END AS action, CASE WHEN bad THEN 'artifact' WHEN 10 - stop_hits <= 2 THEN 'mixed' ELSE 'coherent' END AS quality FROM h JOIN s USING (topic)""")
 def _(spark, d):
-    h = lang_terms(spark, d).groupBy("topic").agg(F.count_if(F.col("term").isin(*X.STOPWORDS)).alias("stop_hits"))
+    h = lang_terms(spark, d).groupBy("topic").agg(F.count_if(F.col("term").isin(*X.STOPWORDS)).alias("stop_hits"), F.bool_or(F.col("term").rlike(C.ARTIFACT_KEYWORD)).alias("bad"))
     s = docs(spark, d).where(F.col("lang").isNotNull()).groupBy(F.col("lang").alias("topic")).agg(F.count("*").alias("size"))
-    return h.join(s, "topic").select("*", C.review_topic(F.col("stop_hits"), F.col("size")).alias("action"), C.keyword_quality(F.lit(False), 10 - F.col("stop_hits")).alias("quality"))
+    return h.join(s, "topic").select("topic", "stop_hits", "size", C.review_topic(F.col("stop_hits"), F.col("size")).alias("action"), C.keyword_quality(F.col("bad"), 10 - F.col("stop_hits")).alias("quality"))
 
 
 @query("quote_repository")

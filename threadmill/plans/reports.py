@@ -136,15 +136,15 @@ def _(spark, d):
 METRICS = ("p", "r", "mrr", "ap", "ndcg")
 
 
-@query("metric_summary", f"{IR} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, round(avg({m}), 6) AS mean, round(stddev_pop({m}), 6) AS std FROM ms" for m in METRICS))
+@query("metric_summary", f"{IR} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, round(avg({m}), 4) AS mean, round(stddev_pop({m}), 4) AS std FROM ms" for m in METRICS))
 def _(spark, d):
-    return V.metric_summary(cosine_metrics(spark, d)[0], list(METRICS))
+    return V.metric_summary(cosine_metrics(spark, d)[0], list(METRICS), digits=4)
 
 
-@query("metric_by_category", f"{IR} SELECT label, 'ndcg' AS metric, round(avg(ndcg), 6) AS mean, round(stddev_pop(ndcg), 6) AS std FROM ms JOIN embeddings ON vec_id = q_id GROUP BY label")
+@query("metric_by_category", f"{IR} SELECT label, 'ndcg' AS metric, round(avg(ndcg), 4) AS mean, round(stddev_pop(ndcg), 4) AS std FROM ms JOIN embeddings ON vec_id = q_id GROUP BY label")
 def _(spark, d):
     m, q = cosine_metrics(spark, d)
-    return V.metric_summary(m.join(q, "q_id"), ["ndcg"], "label")
+    return V.metric_summary(m.join(q, "q_id"), ["ndcg"], "label", 4)
 
 
 KEYWORDS = (("mock", "rank", "percentile", "test"), ("placement", "offer", "season"), ("panic", "dark", "thought"), ("family", "parent", "strict"), ("coaching", "fee", "refund"), ("sleep", "burn"), ("cod", "contest", "rating"), ("visa", "loan", "interview"))
