@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from threadmill.operators import stats as S
 from threadmill.operators import topics as T
 from threadmill.operators import vectors as V
 from threadmill.plans.catalogue import CENT, CTFIDF, LATEST, QSQL, QUERIES, QUERYSET, REPLIES, SQL, SUPPORT, TOPIC1, UNIT, WORDS, annotations, docs, inlist, lang_terms, latest, per_source, posts, query, relevance, replies, topic1, two_labelings, vecs
-from threadmill.session import shared_dir, table
+from threadmill.session import scratch, table
 from threadmill.sources import io
 
 # Coherence
@@ -417,7 +415,7 @@ def _(spark, d):
 
 
 def folder(spark) -> str:
-    return f"{shared_dir(spark)}/trip-{uuid.uuid4().hex}"
+    return scratch(spark, "trip")
 
 
 DOCROWS = "SELECT doc_id, text, source FROM documents"

@@ -61,9 +61,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Paths of staged tables by session.
 _staged: dict[str, SparkSession] = {}
+#: Names in the catalog of those that have one.
+_tables: dict[str, str] = {}
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    if path in _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -77,6 +81,15 @@ def _drop_staged() -> None:
             continue
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there goes when the process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _staged:
+        atexit.register(_drop_staged)
+    _staged[path] = spark
+    return path
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -84,11 +97,8 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     column pruning and pushed filters. The tables go with ``unstage``, or when the process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    if not _staged:
-        atexit.register(_drop_staged)
-    _staged[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._threadmill_path = path
     return out
@@ -101,14 +111,12 @@ def stage_by(df: DataFrame, key: str, name: str = "stage", placed: bool = False)
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     own = f"threadmill_{name}_{uuid.uuid4().hex}"
     (df if placed else df.repartition(n, key)).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(own)
-    if not _staged:
-        atexit.register(_drop_staged)
-    _staged[path] = spark
+    _tables[path] = own
     out = spark.table(own)
-    out._threadmill_path, out._threadmill_table = path, own
+    out._threadmill_path = path
     return out
 
 
@@ -122,8 +130,6 @@ def unstage(*frames: DataFrame | None) -> None:
         path = getattr(f, "_threadmill_path", None)
         spark = _staged.pop(path, None)
         if spark is not None:
-            if hasattr(f, "_threadmill_table"):
-                spark.sql(f"DROP TABLE IF EXISTS {f._threadmill_table}")
             _delete(spark, path)
     spark = next((f.sparkSession for f in frames if f is not None), None)
     if spark is not None:
