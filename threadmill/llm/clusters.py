@@ -262,6 +262,8 @@ def neighbour_graph(nodes: DataFrame, n: int, k: int = K, target: float = 0.95,
 
 def move_alone(u: np.ndarray, v: np.ndarray, w: np.ndarray, gamma: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """The nodes and their communities, by moves one after the other until none raises modularity, level by level until nothing merges."""
+    if not len(u):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     ids, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b, total = ends[: len(u)], ends[len(u) :], float(w.sum()) or 1.0
     names, member, rng = ids, np.arange(len(ids)), np.random.default_rng(3)

@@ -164,6 +164,11 @@ def label_map(languages: DataFrame) -> dict[str, str]:
     return out
 
 
+def to_code(labels: dict[str, str]) -> F.Column:
+    """A map column from labels to codes."""
+    return F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]) if labels else F.lit(None).cast("map<string,string>")
+
+
 def log_shares(label: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     sums = np.bincount(label, weight, n) + 1
     return np.log(sums / sums.sum())
@@ -177,7 +182,9 @@ def train(df: DataFrame, labels: dict[str, str], per_language: int = SAMPLE, ste
     counts as often as the corpus has it, and a second network learns those, and a third those of the second.
     """
     codes = sorted(set(labels.values()))
-    known = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    if not codes:
+        return ByteNet(1), codes
+    known = to_code(labels)
     df = df.withColumn("code", known[F.lower(F.trim("lang"))]).where("code is not null")
     n = {r["code"]: r["count"] for r in df.groupBy("code").count().collect()}
     share = F.create_map(*[F.lit(x) for c in codes for x in (c, max(1, -(-n.get(c, 0) // per_language)))])
@@ -219,8 +226,11 @@ def segments(df: DataFrame, net: ByteNet, codes: list[str]) -> DataFrame:
 
     A text is in the language of most of its words. A line counts as in another language only if it has three words and that
     language is likelier in spite of the text's; else it goes with the text. A text without letters is in no language and gives
-    no row; null and blank texts give none; repeated rows repeat.
+    no row; null and blank texts give none; repeated rows repeat. Without any language there are no rows.
     """
+    out = "src string, rec_id string, lang string, seg_no int, lang_code string, confidence double, words int"
+    if not codes:
+        return df.sparkSession.createDataFrame([], out)
     shared = df.sparkSession.sparkContext.broadcast((net.p, net.prior, net.widths, net.filters, net.dim, codes))  # a few kB
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -254,12 +264,11 @@ def segments(df: DataFrame, net: ByteNet, codes: list[str]) -> DataFrame:
                 code = np.concatenate([main, best[mixed]])
                 sure = np.concatenate([conf, chance[mixed, best[mixed]]])
                 row = np.concatenate([owner[start], owner[mixed]])
-                out = b[["src", "rec_id", "lang"]].iloc[row].reset_index(drop=True)
+                got = b[["src", "rec_id", "lang"]].iloc[row].reset_index(drop=True)
                 count = np.array([len(b["text"].iat[i].split()) for i in owner[start]])
-                out = out.assign(seg_no=seg, lang_code=np.array(codes)[code], confidence=sure, words=np.concatenate([count, count[text[mixed]]]))
-                yield out
+                yield got.assign(seg_no=seg, lang_code=np.array(codes)[code], confidence=sure, words=np.concatenate([count, count[text[mixed]]]))
 
-    return spread(df.select("src", "rec_id", "text", "lang")).mapInPandas(run, "src string, rec_id string, lang string, seg_no int, lang_code string, confidence double, words int")
+    return spread(df.select("src", "rec_id", "text", "lang")).mapInPandas(run, out)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, str]]:
@@ -271,7 +280,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, str
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wrong or missing labels of texts of five words or more, and the lines of mixed texts."""
     got, labels = labelled(spark, sf_dir)
-    known = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    known = to_code(labels)
     right = F.coalesce(known[F.lower(F.trim("lang"))] == F.col("lang_code"), F.lit(False))
     case = ((F.col("seg_no") == 0) & (F.col("words") >= 5) & ~right) | (F.col("seg_no") > 0)
     return got.where(case).select("src", "rec_id", "seg_no", "lang_code").distinct()

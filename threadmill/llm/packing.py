@@ -246,12 +246,13 @@ def pack(sized: DataFrame, specs: DataFrame, key: str = "doc_id") -> DataFrame:
 
     ``sized`` has (key, tokenizer, n), ``specs`` has (spec_id, tokenizer, capacity_tokens). Containers are
     numbered from 1 within a spec. A document of size 0 or null takes no room and goes into container 1.
-    An empty table gives no rows; capacities must be positive.
+    An empty table gives no rows, as do specs without a positive capacity.
     """
     sized = sized.select(key, "tokenizer", F.coalesce("n", F.lit(0)).alias("n"))
     rows = specs.select("spec_id", "tokenizer", "capacity_tokens").where("spec_id is not null and tokenizer is not null and capacity_tokens > 0").collect()  # a fixed table of a few rows
     if not rows:
-        raise ValueError("no container has a capacity")
+        kind = dict(sized.dtypes)[key]
+        return sized.sparkSession.createDataFrame([], f"spec_id int, `{key}` {kind}, piece_no int, n_tokens int, container_id long")
     items = stage(pieces(sized, rows, key), "p8")
     histogram: dict[int, dict[int, int]] = {}
     for r in items.groupBy("spec_id", "n_tokens").count().collect():  # as many rows as the capacities have tokens, at most
@@ -288,6 +289,8 @@ def sized_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
         encode(docs, ranks=vocabulary(name), lengths_only=True).select("doc_id", F.lit(name).alias("tokenizer"), F.col("n_tokens").alias("n"))
         for name in sorted(r["tokenizer"] for r in specs.select("tokenizer").where("tokenizer is not null").distinct().collect())
     ]
+    if not parts:
+        return spark.createDataFrame([], "doc_id long, tokenizer string, n int"), specs
     sized = parts[0]
     for p in parts[1:]:
         sized = sized.unionByName(p)
