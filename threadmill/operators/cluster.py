@@ -19,6 +19,8 @@ from threadmill.session import stage
 def reduce_pca(df: DataFrame, key: str, vec: str, k: int) -> DataFrame:
     """(key, reduced): the ``k`` principal components; the signs of axes are free."""
     v = df.where(F.col(vec).isNotNull()).select(key, array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("v"))
+    if v.isEmpty():
+        return v.select(key, F.array().cast("array<double>").alias("reduced"))
     return PCA(k=k, inputCol="v", outputCol="r").fit(v).transform(v).select(key, vector_to_array("r").alias("reduced"))
 
 
